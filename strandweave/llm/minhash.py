@@ -12,13 +12,12 @@ Steps, none of which emits all pairs of a group or gathers one in a task:
 2. per table key the member with the smallest hashed id is the centre; every other member makes
    one candidate pair with it (pre-aggregated minimum, then a join that adaptive execution splits
    when a key is hot). Verified pairs are links; components follow.
-3. keys whose members still lie in different components: members of other than the key's largest
-   component are paired with the key's members of other components, except pairs that the
-   verified distances to the common centre exclude: Jaccard distance is a metric, so
-   |d(x, c) - d(y, c)| > 1 - threshold proves that x and y aren't linked. These too are verified.
+3. centres whose members still lie in different components: the members of one centre (every pair that
+   shares a table key has a centre in common) are compared in blocks, each pair of blocks a group of
+   rows in a partition. Only links between components leave a task, so a large group costs work, which is spread,
+   but no rows.
 
-After 3, every pair that shares a table key is linked, excluded by proof, compared, or already in
-one component.
+After 3, every two documents that share a table key are compared or already in one component.
 """
 
 from __future__ import annotations
@@ -28,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runs import block_pairs, grouped, runs
 from ._shared import stage, text_key
 from ._words import Words, mix, passes, rolling
 from .components import components
 
 ROWS = 3
+#: Members of a block.
+BLOCK = 512
 #: The chance to miss a pair just at the threshold that ``collections`` allows.
 MISS = 3e-4
 
@@ -166,36 +168,67 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, m: int) -> Da
     links = first.where("linked").select("a", "b")
 
     of = components(links)
-    spread = (
-        member.join(first.select(F.col("a").alias("v"), F.col("b").alias("centre"), "similarity"), ["v", "centre"])
-        .join(of, "v", "left")
-        .select("key", "v", "n", "similarity", F.coalesce("component", "v").alias("c"))
-    )
-    sizes = spread.groupBy("key", "c").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("total"), F.max("size").alias("most")).where("parts > 1")
-    # any one largest component will do: the pairs are between components either way
-    top = sizes.join(largest, "key").where("size = most").groupBy("key").agg(F.min("c").alias("top"))
-    mixed = stage(spread.join(top, "key"), "mixed")
-    far = 1 - percent / 100 + 1e-9
-    x, y = mixed.where("c != top").alias("x"), mixed.alias("y")
-    near = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.c") != F.col("y.c"))
-        & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= far)
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    )
-    pairs = x.join(y, near).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
-    second = stage(_compare(docs, reps, pairs, k, percent).where("linked").select("a", "b"), "compared")
+    own = first.select(F.col("a").alias("v"), F.col("b").alias("centre")).join(of, "v", "left").withColumn("c", F.coalesce("component", "v"))
+    sizes = own.groupBy("centre").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    mixed = stage(own.join(sizes.select("centre", "count"), "centre").select("centre", "count", "v", "c"), "mixed")
+    dealt = block_pairs(mixed, F.col("count"), "v", BLOCK)
+    texts = _texts(docs, reps, mixed.select("v").distinct())
+    met = grouped(dealt.join(texts, "v").select("centre", "i", "j", "side", "v", "c", "text"), ["centre", "i", "j"])
+    second = stage(met.mapInArrow(_across(k, percent), "a long, b long"), "compared")
     return links.unionByName(second)
 
 
+def _across(k: int, percent: int):
+    """Links (a, b) between components, enough to join them, in each pair of blocks."""
+
+    def block(sets: list[np.ndarray], v: np.ndarray, c: np.ndarray, side: np.ndarray):
+        c = c.copy()
+        size = np.array([len(s) for s in sets])
+        begin = np.append(0, np.cumsum(size))
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(int(ids.max(initial=0)) + 1, np.int8)
+        two = bool(side.any())
+        which, n = np.unique(c, return_counts=True)
+        largest = which[np.argmax(n)]
+        # the largest component's members are met by all others
+        for x in np.flatnonzero(c != largest).tolist():
+            other = np.flatnonzero((c != c[x]) & ((side != side[x]) | (not two)) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
+            if not len(other):
+                continue
+            own = ids[begin[x] : begin[x + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids], begin[:-1], dtype=np.int64)[other]
+            mark[own] = 0
+            for y in other[100 * both >= percent * (size[x] + size[other] - both)].tolist():
+                if c[y] != c[x]:
+                    yield v[x], v[y]
+                    c[c == c[y]] = c[x]
+
+    def run(batches):
+        for t, starts in runs(batches, ["centre", "i", "j"]):
+            v, c, side = (t.column(n).to_numpy() for n in ("v", "c", "side"))
+            sets = [s for _, _, data, offsets in passes(t.column("text")) for s in shingle_sets(Words(data, offsets), k)]
+            found = []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if (c[a:b] != c[a]).any():
+                    found += block(sets[a:b], v[a:b], c[a:b], side[a:b])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[n]) for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Bring both whole texts to each pair and test it."""
     pairs = stage(pairs, "pairs")
     used = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    need = reps.join(used, "v").select("v", "rep", "text_key")
-    texts = docs.join(need, (docs.doc_id == need.rep) & (docs.text_key == need.text_key)).select("v", "text").dropDuplicates(["v"])
-    texts = stage(texts, "texts")
+    texts = stage(_texts(docs, reps, used), "texts")
     full = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
     return full.mapInArrow(_verify(k, percent), "a long, b long, similarity double, linked boolean")
+
+
+def _texts(docs: DataFrame, reps: DataFrame, used: DataFrame) -> DataFrame:
+    """(v, text) of the classes in ``used``."""
+    need = reps.join(used, "v").select("v", "rep", "text_key")
+    return docs.join(need, (docs.doc_id == need.rep) & (docs.text_key == need.text_key)).select("v", "text").dropDuplicates(["v"])
