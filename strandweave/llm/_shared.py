@@ -80,6 +80,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes that the plan reads; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def text_key(text: str | Column = "text") -> Column:
     """64 bits of the whole text; null and empty alike."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -5,11 +5,74 @@ from __future__ import annotations
 from ._shared import table
 
 
+def op2_sum_of_squares_packing(spark, sf_dir):
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), size=4096, end_id=1)
+
+
+def op3_license_diagonals(spark, sf_dir):
+    from .licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_pareto_mix(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_mph_token_export(spark, sf_dir):
+    from .export import exported
+
+    return exported(table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op6_kd_top_k(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .kdsearch import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op7_rule_quality(spark, sf_dir):
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_cross_polytope_dedup(spark, sf_dir):
+    from .crosspolytope import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op9_ftrl_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_sum_of_squares_packing,
+        op3_license_diagonals,
+        op4_pareto_mix,
+        op5_mph_token_export,
+        op6_kd_top_k,
+        op7_rule_quality,
+        op8_cross_polytope_dedup,
+        op9_ftrl_toxicity,
+        op10_minhash_near_dedup,
+    )
+}
 SQL: dict[str, str] = {}
