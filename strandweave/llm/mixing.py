@@ -7,8 +7,8 @@ comes from one running sum.
 Copies: with e = target / size of a source, a document has e expected copies (times its relative odds, if a
 column gives them): floor(e) of them are certain, and the fraction p is its inclusion probability. Pareto order sampling
 (Rosen, 1997) ranks documents by U / (1 - U) over p / (1 - p), U a hash of the document, and takes from the
-smallest on; here until the source's remaining words are used up, then the one document whose size is nearest to what is
-left, if it helps.
+smallest on; here until the source's remaining words are used up, twice more among those that still fit, then the one
+document whose size is nearest to what is left, if it helps.
 
 No source is ordered in one task: the ranks are cut into buckets, words are summed per source and
 bucket, and only the bucket in which the budget runs out is sorted.
@@ -27,6 +27,11 @@ from ._shared import stage
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3.0
+#: Times that documents are taken in order of rank: what follows the first that doesn't fit may still fit.
+ROUNDS = 3
+KEY = ["src", "no_src"]
+#: Share of its target by which a source may be off before smaller documents are exchanged for a larger one.
+TOLERANCE = 0.002
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -71,31 +76,51 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: in
     ranked = ranked.withColumn("rank", F.when(open_, ratio / (1 + ratio))).withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)))
     ranked = stage(ranked.select("row", "doc_id", "source", "size", "src", "no_src", "source_size", "target", "sure", "rank", "bucket"), "ranked")
 
-    key = ["src", "no_src"]
-    budget = ranked.groupBy(*key).agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("budget"))
-    sums = ranked.where("bucket is not null").groupBy(*key, "bucket").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy(*key).orderBy("bucket")
-    sums = sums.withColumn("until", F.sum("words").over(running)).join(budget, key)
-    # the bucket in which the budget runs out; none if it never does
-    cut = sums.where("until > budget").groupBy(*key).agg(F.min("bucket").alias("cut"), F.min_by(F.col("until") - F.col("words"), "bucket").alias("until"))
-    edge = stage(budget.join(cut, key, "left"), "edges")
-
-    # edge: one row a source; the planner broadcasts it when it is small
-    at = ranked.join(edge, key).withColumn("first", F.col("bucket").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))))
-    inside = Window.partitionBy(*key).orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    last = at.where("bucket = cut").withColumn("fits", F.col("until") + F.sum("size").over(inside) <= F.col("budget"))
-    last = stage(last.select("row", "fits", "size", *key), "last")
-    used = last.where("fits").groupBy(*key).agg(F.sum("size").alias("inside"))
-    # what is left, and the document nearest to it among those not taken
-    left = edge.join(used, key, "left").withColumn("left", F.col("budget") - F.coalesce("until", F.lit(0)) - F.coalesce("inside", F.lit(0)))
-    at = at.drop("until", "budget").join(last.select("row", "fits"), "row", "left").withColumn("more", F.col("first") | F.coalesce("fits", F.lit(False)))
-    rest = at.where("not more and bucket is not null and cut is not null").join(left.select(*key, "left"), key).withColumn("miss", F.abs(F.col("size") - F.col("left")))
-    nearest = rest.where(F.col("miss") < F.abs("left")).groupBy(*key).agg(F.min(F.struct("miss", "rank", "doc_id", "row")).alias("near"))
-    closing = nearest.select(F.col("near.row").alias("row"), F.lit(1).alias("closes"))
-    out = at.join(closing, "row", "left").withColumn("copies", F.col("sure") + F.when(F.col("more") | F.col("closes").isNotNull(), 1).otherwise(0))
+    budget = ranked.groupBy(*KEY).agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("budget"))
+    at = ranked.withColumn("more", F.lit(False))
+    for _ in range(ROUNDS):
+        # budget: one row a source; the planner broadcasts it when it is small
+        at, budget = _take(at, stage(budget, "budget"))
+    # a few large documents can leave a small source far off: then one too many goes in, and smaller ones out
+    budget = stage(budget, "budget")
+    off = budget.join(of.select(*KEY, "target"), KEY).where(F.col("budget") > TOLERANCE * F.col("target")).select(*KEY, "budget")
+    over = at.where("not more and rank is not null").join(off, KEY).where("size > budget")
+    over = over.groupBy(*KEY).agg(F.min(F.struct("size", "rank", "doc_id", "row")).alias("large"))
+    over = stage(over.select(*KEY, "large.size", "large.row"), "over")
+    at = at.join(over.select("row", F.lit(True).alias("large")), "row", "left").withColumn("more", F.col("more") | F.coalesce("large", F.lit(False))).drop("large")
+    budget = budget.join(over.select(*KEY, "size"), KEY, "left").select(*KEY, (F.col("budget") - F.coalesce("size", F.lit(0))).alias("budget"))
+    for _ in range(2):
+        at, budget = _take(at, stage(budget, "budget"), out=True)
+    closest = at.where("rank is not null").join(budget, KEY).where(F.col("more") == (F.col("budget") < 0))
+    closest = closest.withColumn("miss", F.abs(F.col("size") - F.abs("budget"))).where(F.col("miss") < F.abs("budget"))
+    nearest = closest.groupBy(*KEY).agg(F.min(F.struct("miss", "rank", "doc_id", "row")).alias("near"))
+    closing = nearest.select(F.col("near.row").alias("row"), F.lit(True).alias("closes"))
+    out = at.join(closing, "row", "left").withColumn("copies", F.col("sure") + (F.col("more") != F.coalesce("closes", F.lit(False))).cast("int"))
     return out.select("row", "doc_id", "source", "size", "source_size", "target", "copies")
 
 
+def _take(at: DataFrame, budget: DataFrame, out: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Take the documents of smallest rank, of those that still fit by themselves, as long as their sum fits; or take
+    out those of largest rank where the budget is overdrawn."""
+    way, due = (-1, F.greatest(F.lit(0.0), -F.col("budget"))) if out else (1, F.col("budget"))
+    open_ = (F.col("more") == out) & F.col("rank").isNotNull() & (F.col("size") <= F.col("due"))
+    at = at.join(budget.select(*KEY, due.alias("due")), KEY).withColumn("open", open_).withColumn("turn", F.col("bucket") * way)
+    sums = at.where("open").groupBy(*KEY, "turn").agg(F.sum("size").alias("words"), F.max("due").alias("due"))
+    sums = sums.withColumn("until", F.sum("words").over(Window.partitionBy(*KEY).orderBy("turn")))
+    # the bucket in which the budget runs out; none if it never does
+    cut = sums.where("until > due").groupBy(*KEY).agg(F.min("turn").alias("cut"), F.min_by(F.col("until") - F.col("words"), "turn").alias("until"))
+    at = at.join(stage(cut, "cuts"), KEY, "left")
+    inside = Window.partitionBy(*KEY).orderBy(F.col("rank") * way, "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    last = at.where("open and turn = cut").withColumn("fits", F.col("until") + F.sum("size").over(inside) <= F.col("due"))
+    last = last.where("fits").select("row", F.lit(True).alias("fits"))
+    now = F.col("open") & (F.col("cut").isNull() | (F.col("turn") < F.col("cut")) | F.coalesce("fits", F.lit(False)))
+    at = at.join(last, "row", "left").withColumn("now", now)
+    at = stage(at.drop("due", "open", "turn", "cut", "until", "fits"), "taken")
+    used = at.where("now").groupBy(*KEY).agg(F.sum("size").alias("used"))
+    left = budget.join(used, KEY, "left").select(*KEY, (F.col("budget") - way * F.coalesce("used", F.lit(0))).alias("budget"))
+    return at.withColumn("more", F.col("more") != F.col("now")).drop("now"), left
+
+
 def sized(docs: DataFrame, odds: Column | None = None) -> DataFrame:
     """(row, doc_id, source, size, odds), written to the shared folder; the only pass over the texts."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")

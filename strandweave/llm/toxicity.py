@@ -48,7 +48,7 @@ def feature_sets(data, offsets) -> list[np.ndarray]:
 class Ftrl:
     """w = 0 where |z| <= l1, else -(z - sign(z) * l1) / ((beta + sqrt(n)) / alpha + l2)."""
 
-    def __init__(self, size: int, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.0):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.bias_z = self.bias_n = 0.0
@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, epochs: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, epochs: int = 10) -> Model:
     def features(batches):
         for b in batches:
             if b.num_rows:
