@@ -131,7 +131,12 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per row of ``docs`` (doc_id long, text).
+    """``classified`` without the internal text_key."""
+    return classified(docs, k, percent, rows).drop("text_key")
+
+
+def classified(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept): one row per row of ``docs`` (doc_id long, text).
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of
     distinct ``k``-word shingles (words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased). With under k words
@@ -155,7 +160,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     label = label.select("rep", F.coalesce("component", "v").alias("c")).join(named, "c").select("rep", "component_id")
     of = signed.join(classes, ["set1", "set2"], "left").join(label, "rep", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return of.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return of.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, m: int) -> DataFrame:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from ._shared import table
 
 
+def op1_compact_window_repeats(spark, sf_dir):
+    from .substring import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), min_words=50, percent=80)
+
+
 def op2_sum_of_squares_packing(spark, sf_dir):
     from .packing import pack_documents
 
@@ -64,6 +70,7 @@ def op10_minhash_near_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_compact_window_repeats,
         op2_sum_of_squares_packing,
         op3_license_diagonals,
         op4_pareto_mix,
