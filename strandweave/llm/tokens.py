@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Entries of a worker's table of chunks; it starts anew when full. About 200 bytes each.
-CHUNKS = 600_000
+CHUNKS = 700_000
 
 # The split pattern of word_bpe_49k.json, under which chunks are independent.
 _CHUNKED_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -42,6 +42,10 @@ class Encoder:
             spec = json.load(f)
         self.chunked = self._chunked(spec)
         self.marks = [x["content"].encode() for x in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.whole: dict[bytes, bytes] = {}
         self.core: dict[bytes, bytes] = {b"": b""}
 
@@ -71,19 +75,27 @@ class Encoder:
         odd = [i for i, t in enumerate(texts) if any(m in t.lower() for m in self.marks)]
         for i in odd:
             chunks[i] = []
-        new = set().union(*chunks).difference(self.whole)
+        get = self.whole.get
+        parts = [list(map(get, c)) for c in chunks]
+        holes = [[i for i, x in enumerate(p) if x is None] for p in parts]
+        new = {c[i] for c, at in zip(chunks, holes, strict=True) for i in at}
+        learned = self._learn(new)
+        for c, p, at in zip(chunks, parts, holes, strict=True):
+            for i in at:
+                p[i] = learned[c[i]]
+        out = [b"".join(p) for p in parts]
         if len(self.whole) + len(new) > CHUNKS:
-            self.whole.clear()
+            # what this call needed is what is common
+            common = set().union(*chunks)
+            self.whole = {c: ids for c, ids in self.whole.items() if c in common}
+        self.whole.update(learned)
+        if len(self.core) > CHUNKS:
             self.core = {b"": b""}
-            new = set().union(*chunks)
-        self._learn(new)
-        get = self.whole.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
         for i, ids in zip(odd, self._library([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         return out
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new chunks. A chunk that ends in punctuation is looked up as its two parts, and
         ASCII ones in lower case, as the tokenizer itself treats them."""
         parts, need = [], {}
@@ -99,11 +111,38 @@ class Encoder:
                 need[head] = None
             if tail not in self.core:
                 need[tail] = None
-        if need:
-            self.core.update(zip(need, self._library(list(need)), strict=True))
+        words = [c for c in need if _is_word(c)]
+        self.core.update(zip(words, self._words(words), strict=True))
+        other = [c for c in need if c not in self.core]
+        if other:
+            self.core.update(zip(other, self._library(other), strict=True))
         core = self.core
-        for c, head, tail in parts:
-            self.whole[c] = core[head] + core[tail]
+        return {c: core[head] + core[tail] for c, head, tail in parts}
+
+    def _words(self, words: list[bytes], at_once: int = 256) -> list[bytes]:
+        """Ids of words of letters, many in one text: the token that ends a word says so."""
+        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        got = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        out: list[bytes] = []
+        for g, e in zip(groups, got, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            to = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(to) != len(g):  # a word that the tokenizer parts after all
+                out += self._library(g)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in to:
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+
+def _is_word(chunk: bytes) -> bool:
+    """Letters only, of scripts without surprises."""
+    if chunk.isascii():
+        return chunk.isalpha()
+    word = chunk.decode("utf-8", "replace")
+    return word.isalpha() and max(word) < "\u0250"
 
 
 def _ends_word(head: bytes) -> bool:
