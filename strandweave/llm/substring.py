@@ -8,8 +8,8 @@ equal passages share the smallest token under most hash functions, so equal keys
 
 1. windows: one numpy pass over the texts builds the long nodes of the trees level by level, for all texts of a pass
    at once. Each keeps two small hashes of what lies just before and after its token.
-2. join: of the windows with one key the document with the smallest hashed id is the centre, and so for
-   each key with its left, and with its right context, which keeps a common token from hiding a passage. Every other
+2. join: of the windows with one key the document with the smallest hashed id is the centre, and so
+   for each key with its left and with its right context apart, which keeps a common token from hiding a passage. Every other
    document makes one candidate with it: the diagonal between the two tokens, and the overlap of the two windows, which must be
    long enough. Minimums are pre-aggregated, joins are those that adaptive execution can split.
 3. verification: documents with enough hash functions on neighbouring diagonals are aligned there on their
@@ -69,7 +69,7 @@ def windows(h: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np
 
 
 def _short(x: np.ndarray) -> np.ndarray:
-    return (mix(x) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (mix(x) >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _windows(least: int):
@@ -95,11 +95,11 @@ def _windows(least: int):
             before = [np.where(c - d >= begins[of], g[np.maximum(c - d, 0)], np.uint64(d)) for d in (SHINGLE, 2 * SHINGLE)] if len(c) else [c, c]
             base = begins[of]
             left, right = (_short(mix(x[0].astype(np.uint64)) ^ x[1].astype(np.uint64)) for x in (before, after))
-            for to, x in zip(cols, (j, key.view(np.int64), c - base, c - l, r - c, left, right), strict=True):
+            for to, x in zip(cols, (j, key.view(np.int64), c - base, np.minimum(c - l, least), np.minimum(r - c, least), left, right), strict=True):
                 to.append(x)
             counts.append(np.bincount(of, minlength=len(ends)))
         size = np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32)
-        kinds = (pa.int8(), pa.int64(), *(pa.int32(),) * 5)
+        kinds = (pa.int8(), pa.int64(), pa.int32(), *(pa.int16(),) * 4)
         lists = [pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(x)).cast(k)) for x, k in zip(cols, kinds, strict=True)]
         return pa.RecordBatch.from_arrays([b.column("v"), *lists], ["v", *_LISTS])
 
@@ -211,19 +211,15 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     if least < 2:
         raise ValueError(f"min_words must be over {SHINGLE}")
     texts = _texts(docs)
-    schema = "v long, j array<tinyint>, key array<long>, " + ", ".join(f"{c} array<int>" for c in _LISTS[2:])
+    schema = "v long, j array<tinyint>, key array<long>, c array<int>, " + ", ".join(f"{c} array<smallint>" for c in _LISTS[3:])
     made = stage(texts.select("v", "text").mapInArrow(_windows(least), schema).where(F.size("key") > 0), "windows")
     flat = made.select("v", F.inline(F.arrays_zip(*_LISTS)))
-    # keys that more than one document has
-    several = flat.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("key")
+    several = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = stage(flat.join(several, "key"), "met")
 
-    # each window under its key alone, with what is before, and with what is after
-    contexts = F.array(
-        F.col("key"),
-        F.xxhash64(F.lit(1), "key", "left"),
-        F.xxhash64(F.lit(2), "key", "right"),
-    )
+    # each window under its key with what is before, and with what is after: a passage of 50 words or more holds
+    # at least one of the two, wherever its token is
+    contexts = F.array(F.xxhash64(F.lit(1), "key", "left"), F.xxhash64(F.lit(2), "key", "right"))
     sided = met.select("v", "j", "c", "before", "after", F.explode(contexts).alias("key"))
     centre = sided.groupBy("key").agg(F.min("v").alias("b"), F.max("v").alias("most")).where("b < most").select("key", "b")
     members = sided.join(centre, "key")
