@@ -81,8 +81,9 @@ def partitions(df: DataFrame) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the bytes that the plan reads; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own estimate of the bytes that the plan reads; no job runs. 0 where Spark knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def text_key(text: str | Column = "text") -> Column:
