@@ -11,6 +11,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import stats as _stats
+from .operators import abundance as _abundance
 from .operators import sketch as _sketch
 from .operators.sketch import DEFAULT_P, MAX_K, MAX_P, MIN_K, MIN_P, Sketch
 from .sources import hll, sequences
@@ -18,8 +20,8 @@ from .sources import hll, sequences
 DEFAULT_CHUNK_MB = 32
 
 __all__ = [
-    "DEFAULT_CHUNK_MB", "DEFAULT_P", "MAX_K", "MAX_P", "MIN_K", "MIN_P", "Sketch", "SketchDirResult", "estimate", "estimate_union",
-    "intersect_estimate", "intersect_estimate_many", "read", "read_header", "sketch", "sketch_many", "sketch_to_dir", "sketch_union",
+    "DEFAULT_CHUNK_MB", "DEFAULT_P", "MAX_K", "MAX_P", "MIN_K", "MIN_P", "Sketch", "SketchDirResult", "abundance", "estimate", "estimate_union",
+    "intersect_estimate", "intersect_estimate_many", "read", "read_header", "sample_report", "sketch", "sketch_many", "sketch_to_dir", "sketch_union",
 ]
 
 
@@ -117,6 +119,25 @@ def intersect_estimate_many(sketches) -> int:
     return round(_sketch.intersect_many(regs, "item", list(range(len(own))), own[0].precision).first()[0])
 
 
+def abundance(fastas, *, k: int, x: int, y: int, sample: int = 50_000, cap: int = 0, z: float = 2.326347874, precision: int = DEFAULT_P, canonical: bool = True, f0: float | None = None) -> DataFrame:
+    """(region, in_sample, m, p_hat, point, sigma, lo, hi, upper) of the k-mers that occur x < n < y, n >= x and n <= y times.
+
+    f0: the number of distinct k-mers; None estimates it with a sketch, whose error the bounds then hold too.
+    """
+    rows = sequences.read_sequences(_spark(), list(dict.fromkeys(_paths(fastas))), k)
+    rel = 0.0
+    if f0 is None:
+        f0, rel = Sketch(_sketch.kmer_registers(rows, k, [], precision, canonical), precision, canonical, k=k).estimate(), _stats.hll_error(precision)
+    cfg = _stats.AbundanceConfig(k, x, y, sample, cap, rel, z)
+    return _abundance.estimate_regions(_abundance.kmer_sample(rows, k, sample, cfg.counter_cap, canonical), f0, cfg)
+
+
+def sample_report(fastas, *, k: int, sample: int = 50_000, canonical: bool = True) -> DataFrame:
+    """One row: tau, n_distinct, n_occ, full of the files' bottom-``sample`` sample."""
+    rows = sequences.read_sequences(_spark(), list(dict.fromkeys(_paths(fastas))), k)
+    return _abundance.tau(_abundance.kmer_sample(rows, k, sample, None, canonical), sample)
+
+
 def read(path) -> Sketch:
     return hll.read_sketch(_spark(), os.fspath(path))
 

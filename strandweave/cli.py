@@ -37,9 +37,25 @@ def _parser() -> argparse.ArgumentParser:
     j.add_argument("--threshold", type=float, default=0.5)
     j.add_argument("--output")
     j.add_argument("--verbose", action="store_true")
+    b = sub.add_parser("abundance", help="k-mers by how often they occur, from a bottom-k sample")
+    b.add_argument("inputs", nargs="*")
+    b.add_argument("--list", help="a file with one input a line")
+    b.add_argument("--k", type=int, default=31)
+    b.add_argument("--x", type=int, default=1)
+    b.add_argument("--y", type=int, default=4)
+    b.add_argument("--sample", type=int, default=50_000)
+    b.add_argument("--f0", type=float, help="distinct k-mers, if known")
     return p
 
 
+def _abundance(a, parser) -> None:
+    paths = a.inputs + (sequences.read_manifest(api._spark(), a.list) if a.list else [])
+    if not paths:
+        parser.error("no inputs")
+    for r in api.abundance(paths, k=a.k, x=a.x, y=a.y, sample=a.sample, f0=a.f0).collect():
+        print("\t".join([r.region, *(f"{r[c]:.6g}" for c in ("in_sample", "m", "point", "lo", "hi", "upper"))]))
+
+
 def _sketch(a, parser) -> None:
     spark = api._spark()
     paths = a.inputs + (sequences.read_manifest(spark, a.list) if a.list else [])
@@ -86,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = _parser()
     args = parser.parse_args(argv)
     try:
-        {"sketch": _sketch, "pairwise": _pairwise}[args.command](args, parser)
+        {"sketch": _sketch, "pairwise": _pairwise, "abundance": _abundance}[args.command](args, parser)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bits, stats
+from ..functions import bits, dna, stats
 
 #: Window starts of a stripe in the capped enumeration.
 STRIPE = 32
@@ -60,6 +62,31 @@ def bottom_k(counted: DataFrame, key: str, size: int, cap: int | None = None) ->
     return f.orderBy(bits.flip("finalizer")).limit(size)
 
 
+def kmer_sample(seqs: DataFrame, k: int, size: int, cap: int | None = None, is_canonical: bool = True, seq: str = "seq") -> DataFrame:
+    """(key, finalizer, n) of the ``size`` k-mer hashes with the smallest finalizers, without a row per k-mer.
+
+    Each task keeps its own ``size`` smallest with their counts, in bounded memory: a key of the overall sample is among
+    the smallest of every part that has it, so no count is lost. Counts are summed and the smallest taken again.
+    """
+
+    def run(batches):
+        f, key, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            data = [s.as_buffer().to_pybytes() for s in b.column(0) if s.is_valid]
+            _, h = dna.rolling_hashes(dna.CODES[np.frombuffer(b"N".join(data), np.uint8)], k, is_canonical)
+            own, count = np.unique(h, return_counts=True)
+            key, at = np.unique(np.concatenate((key, own)), return_inverse=True)
+            n = np.bincount(at, np.concatenate((n, count)), len(key)).astype(np.int64)
+            f = dna.finalize(key)
+            if len(key) > size:
+                least = np.argpartition(f, size - 1)[:size]
+                f, key, n = f[least], key[least], n[least]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    parts = seqs.select(seq).mapInArrow(run, "key long, n long")
+    return bottom_k(parts.groupBy("key").agg(F.sum("n").alias("n")), "key", size, cap)
+
+
 def tau(sample: DataFrame, size: int) -> DataFrame:
     """One row: tau (the largest finalizer of the sample, 0 if it is empty), n_distinct, n_occ, full."""
     return sample.agg(

@@ -213,6 +213,18 @@ def bottomk_sample(spark, d):
     return _sample(spark, d)
 
 
+@query(f"""WITH {o.dna()},
+{o.occurrences(8)},
+{o.rolling_hashes(8)},
+own AS (SELECT h, count(*) AS n FROM hashes GROUP BY h),
+keyed AS (SELECT {o.signed('h')} AS key, n FROM own),
+{o.finalized('keyed', 'key')}
+SELECT key, {o.signed('u')} AS finalizer, least(n, {CAP}) AS n FROM fin ORDER BY u LIMIT {SAMPLE}""")
+def nthash_sample(spark, d):
+    """Bottom-k sample of rolling hashes at k = 8, kept small in every task."""
+    return abundance.kmer_sample(_dna(spark, d).select("seq"), 8, SAMPLE, CAP)
+
+
 @query(f"{_SAMPLE}\nSELECT key, least(n, {CAP}) AS n FROM sample")
 def bottomk_counted_below_tau(spark, d):
     """Second pass: capped counts of the keys up to tau."""

@@ -207,6 +207,29 @@ def test_front_door(spark, tmp_path, records, capsys):
     assert cli.main(["sketch", "--k", "21", str(tmp_path / "none.fa")]) == 1
 
 
+def test_sample_of_sequences(spark, tmp_path, records, capsys):
+    """A sample kept small in every task equals the sample of all counts."""
+    from strandweave.functions import dna
+    from strandweave.operators import abundance
+
+    df = spark.createDataFrame([(s * 2,) for s in records] + [(records[0],), (None,), ("AC",)], "seq string").repartition(3)
+    hashed = []
+    for r in df.collect():
+        _, h = dna.rolling_hashes(dna.CODES[np.frombuffer((r.seq or "").encode(), np.uint8)], 21)
+        hashed += [(int(x),) for x in h.view(np.int64)]
+    expected = abundance.bottom_k(abundance.counts(spark.createDataFrame(hashed, "key long"), "key"), "key", 200, 2)
+    assert {tuple(r) for r in abundance.kmer_sample(df, 21, 200, 2).collect()} == {tuple(r) for r in expected.collect()}
+    fasta(tmp_path / "a.fa", records)
+    n = len(windows(records, 21))
+    got = {r.region: r for r in api.abundance([tmp_path / "a.fa"], k=21, x=1, y=4, f0=n).collect()}
+    assert got["ge_x"].point == n and got["abundance"].point == 0
+    report = api.sample_report([tmp_path / "a.fa"], k=21).first()
+    assert (report.n_distinct, report.full) == (n, False)
+    capsys.readouterr()
+    assert cli.main(["abundance", "--k", "21", str(tmp_path / "a.fa")]) == 0
+    assert len(capsys.readouterr().out.strip().split("\n")) == 3
+
+
 def test_manifest_survey_and_names(spark, tmp_path):
     (tmp_path / "m.txt").write_text("a.fa  \n\n# no\nb.fq.gz\t\n")
     assert sequences.read_manifest(spark, str(tmp_path / "m.txt")) == ["a.fa", "b.fq.gz"]
