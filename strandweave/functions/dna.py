@@ -114,6 +114,43 @@ def rolling_hashes(codes: np.ndarray, k: int, is_canonical: bool = True) -> tupl
     return starts, h
 
 
+def packed_windows(codes: np.ndarray, k: int, is_canonical: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, keys) of the windows of k valid codes, two bits a base: the order of keys is that of k-mers.
+
+    Windows double in width, so a key costs about 2 log2 k steps, not k.
+    """
+    m = len(codes) - k + 1
+    if m <= 0 or k > 32:
+        if k > 32:
+            raise ValueError("k must be at most 32")
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    bad = np.append(0, np.cumsum(codes == 4))
+    starts = np.flatnonzero(bad[k:] == bad[:-k])
+
+    def pack(x):
+        out, have, width, left = np.zeros(m, np.uint64), 0, 1, k
+        while left:
+            if left & 1:
+                out = out << np.uint64(2 * width % 64) | x[have : have + m] if have else x[:m].copy()
+                have += width
+            left >>= 1
+            if left:
+                x = x[:-width] << np.uint64(2 * width) | x[width:]
+                width *= 2
+        return out
+
+    two = (codes & 3).astype(np.uint64)
+    keys = pack(two)[starts]
+    if is_canonical:
+        keys = np.minimum(keys, pack((np.uint64(3) - two)[::-1])[::-1][starts])
+    return starts, keys
+
+
+def unpacked(key: str | Column, k: int) -> Column:
+    """The k-mer of a two-bit key, k at most 31."""
+    return F.translate(F.lpad(F.conv(_col(key).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 # The primes of xxHash64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 

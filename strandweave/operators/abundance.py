@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, dna, stats
+from .sketch import flat_codes
 
 #: Window starts of a stripe in the capped enumeration.
 STRIPE = 32
@@ -32,6 +33,30 @@ def counts(occurrences: DataFrame, key: str, cap: int | None = None) -> DataFram
     return occurrences.groupBy(key).agg((n if cap is None else F.least(n, F.lit(cap))).alias("n"))
 
 
+def kmer_counts(seqs: DataFrame, k: int, by: list[str] = (), is_canonical: bool = True, seq: str = "seq") -> DataFrame:
+    """(*by, key, n): two-bit keys of all k-mers (k at most 32) with their counts.
+
+    Each Arrow batch is packed and counted in numpy, so rows are distinct keys of a batch, not occurrences, and 8 bytes wide.
+    """
+    by = list(by)
+
+    def run(batches):
+        for b in batches:
+            codes, owner, groups = flat_codes(b, seq, by)
+            starts, keys = dna.packed_windows(codes, k, is_canonical)
+            owner = owner[starts]
+            order = np.argsort(keys, kind="stable")
+            order = order[np.argsort(owner[order], kind="stable")] if len(groups) > 1 else order
+            keys, owner = keys[order], owner[order]
+            first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(keys)))
+            own = [groups.column(c).combine_chunks().take(pa.array(owner[first])) for c in by]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], [*by, "key", "n"])
+
+    fields = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in by)
+    return seqs.select(*by, seq).mapInArrow(run, f"{fields}key long, n long").groupBy(*by, "key").agg(F.sum("n").alias("n"))
+
+
 def in_class(n: str | Column, x: int, y: int) -> Column:
     n = F.col(n) if isinstance(n, str) else n
     return (n > x) & (n < y)

@@ -68,7 +68,7 @@ def kmer_registers(seqs: DataFrame, k: int, by: list[str] = (), p: int = DEFAULT
 
     def run(batches):
         for b in batches:
-            codes, owner, groups = _flat(b, seq, by)
+            codes, owner, groups = flat_codes(b, seq, by)
             starts, h = dna.rolling_hashes(codes, k, is_canonical)
             h = dna.finalize(h)
             cell = owner[starts] << p | (h >> np.uint64(64 - p)).astype(np.int64)
@@ -90,7 +90,7 @@ def _ranks(h: np.ndarray, p: int) -> np.ndarray:
     return (65 - bits_).astype(np.int8)
 
 
-def _flat(b: pa.RecordBatch, seq: str, by: list[str]):
+def flat_codes(b: pa.RecordBatch, seq: str, by: list[str]):
     """(codes with a break after each sequence, group number of each code, distinct groups)."""
     data = [(s.as_buffer().to_pybytes() if s.is_valid else b"") for s in b.column(seq)]
     codes = dna.CODES[np.frombuffer(b"N".join(data) + b"N", np.uint8)]

@@ -45,13 +45,9 @@ def _kmers(spark, d, k: int = K, canonical: bool = True) -> DataFrame:
     return dna.kmers(_dna(spark, d), k, is_canonical=canonical)
 
 
-def _counts(spark, d, k: int = K) -> DataFrame:
-    return abundance.counts(_kmers(spark, d, k).select("kmer"), "kmer")
-
-
-def _packed_counts(spark, d) -> DataFrame:
-    """(key, n): two-bit keys of the canonical k-mers; counted as strings of one key each, then packed once a key."""
-    return _counts(spark, d).select(dna.packed("kmer").alias("key"), "n")
+def _counts(spark, d, k: int = K, by: list[str] = ()) -> DataFrame:
+    """(*by, key, n): two-bit keys of the canonical k-mers."""
+    return abundance.kmer_counts(_dna(spark, d), k, by)
 
 
 _OCC = f"WITH {o.dna()},\n{o.occurrences(K)}"
@@ -81,20 +77,19 @@ def kmer_canonical(spark, d):
 @query(f"WITH {o.dna()},\n{o.occurrences(21)}\nSELECT count(*) AS occurrences, count(DISTINCT raw) AS n_forward, count(DISTINCT kmer) AS n_canonical FROM occ")
 def kmer_exact_distinct(spark, d):
     """Exact distinct counts: forward k-mers are aggregated first, so canonical ones are counted on distinct rows."""
-    forward = abundance.counts(_kmers(spark, d, 21, False).select("kmer"), "kmer")
-    own = forward.groupBy(dna.canonical("kmer").alias("c")).agg(F.sum("n").alias("occ"), F.count("*").alias("f"))
+    forward = abundance.kmer_counts(_dna(spark, d), 21, is_canonical=False)
+    own = forward.groupBy(dna.canonical(dna.unpacked("key", 21)).alias("c")).agg(F.sum("n").alias("occ"), F.count("*").alias("f"))
     return own.agg(F.coalesce(F.sum("occ"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("f"), F.lit(0)).alias("n_forward"), F.count("*").alias("n_canonical"))
 
 
 @query(f"{_OCC}\nSELECT lang, count(*) AS occurrences, count(DISTINCT kmer) AS n_distinct FROM occ GROUP BY lang")
 def kmer_distinct_by_lang(spark, d):
-    once = _kmers(spark, d).groupBy("lang", "kmer").agg(F.count("*").alias("n"))
-    return once.groupBy("lang").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_distinct"))
+    return _counts(spark, d, K, ["lang"]).groupBy("lang").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_distinct"))
 
 
 @query(f"{_COUNTED}\nSELECT kmer, n FROM counted ORDER BY n DESC, kmer LIMIT 50")
 def kmer_counts_top(spark, d):
-    return _counts(spark, d).orderBy(F.desc("n"), "kmer").limit(50)
+    return _counts(spark, d).orderBy(F.desc("n"), "key").limit(50).select(dna.unpacked("key", K).alias("kmer"), "n")
 
 
 @query(f"{_COUNTED}\nSELECT n, count(*) AS keys FROM counted GROUP BY n")
@@ -109,7 +104,7 @@ def kmer_abundance_regions(spark, d):
 
 @query(f"{_COUNTED}\nSELECT least(n, {CAP}) AS n, count(*) AS keys FROM counted GROUP BY 1")
 def kmer_saturating_counts(spark, d):
-    return abundance.histogram(abundance.counts(_kmers(spark, d).select("kmer"), "kmer", CAP))
+    return abundance.histogram(_counts(spark, d).withColumn("n", F.least("n", F.lit(CAP).cast("bigint"))))
 
 
 @query(f"""{_COUNTED}, h AS (SELECT n, count(*) AS keys FROM counted GROUP BY n)
@@ -200,7 +195,7 @@ def pair_linear_index(spark, d):
 
 
 def _sample(spark, d) -> DataFrame:
-    return abundance.bottom_k(_packed_counts(spark, d), "key", SAMPLE)
+    return abundance.bottom_k(_counts(spark, d), "key", SAMPLE)
 
 
 @query(f"{_SAMPLE}\nSELECT {o.signed('max(u)')} AS tau, count(*) AS n_distinct, sum(n)::BIGINT AS n_occ, count(*) >= {SAMPLE} AS \"full\" FROM sample")
@@ -249,7 +244,7 @@ s AS (SELECT *, CASE WHEN in_sample > 0 THEN point * sqrt((1 - p_hat) / (p_hat *
 SELECT region, in_sample, m, round(p_hat, 6) AS p_hat, round(point, 3) AS point, round(sigma, 3) AS sigma, round(greatest(0, point - 1.645 * sigma), 3) AS lo, round(point + 1.645 * sigma, 3) AS hi FROM s""")
 def abundance_estimate(spark, d):
     """Class sizes from the sample: point, standard deviation and two-sided bounds."""
-    counted = _packed_counts(spark, d)
+    counted = _counts(spark, d)
     f0 = counted.count()
     e = abundance.estimate_regions(abundance.bottom_k(counted, "key", SAMPLE), f0, CONFIG)
     return e.select("region", "in_sample", "m", F.round("p_hat", 6).alias("p_hat"), *[F.round(c, 3).alias(c) for c in ("point", "sigma", "lo", "hi")])
@@ -258,7 +253,7 @@ def abundance_estimate(spark, d):
 @query()
 def abundance_upper(spark, d):
     """One-sided upper bounds of the class sizes (Clopper-Pearson)."""
-    counted = _packed_counts(spark, d)
+    counted = _counts(spark, d)
     e = abundance.estimate_regions(abundance.bottom_k(counted, "key", SAMPLE), counted.count(), CONFIG)
     return e.select("region", F.round("upper", 3).alias("upper"))
 
@@ -333,13 +328,13 @@ def hll_intersect_nway(spark, d):
 @query(f"""{_OCC}, own AS (SELECT DISTINCT lang, kmer FROM occ), n AS (SELECT lang, count(*) AS n FROM own GROUP BY lang)
 SELECT i, j, shared, round(shared::DOUBLE / (a.n + b.n - shared), 9) AS jaccard FROM (SELECT a.lang AS i, b.lang AS j, count(*) AS shared FROM own a JOIN own b USING (kmer) WHERE a.lang < b.lang GROUP BY ALL) JOIN n a ON a.lang = i JOIN n b ON b.lang = j""")
 def pairwise_jaccard_exact(spark, d):
-    return pairwise.exact_jaccard(_kmers(spark, d).select("lang", "kmer"), "lang", "kmer").withColumn("jaccard", F.round("jaccard", 9))
+    return pairwise.exact_jaccard(_counts(spark, d, K, ["lang"]), "lang", "key").withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(f"{_OCC}\nSELECT count(*) AS n_shared FROM (SELECT kmer FROM occ WHERE lang = 'en' INTERSECT SELECT kmer FROM occ WHERE lang = 'fr')")
 def kmer_exact_intersection(spark, d):
-    k = _kmers(spark, d).select("lang", "kmer")
-    return k.where("lang = 'en'").select("kmer").intersect(k.where("lang = 'fr'").select("kmer")).agg(F.count("*").alias("n_shared"))
+    k = _counts(spark, d, K, ["lang"])
+    return k.where("lang = 'en'").select("key").intersect(k.where("lang = 'fr'").select("key")).agg(F.count("*").alias("n_shared"))
 
 
 # --- sources -----------------------------------------------------------------------------------------------------

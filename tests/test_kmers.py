@@ -42,6 +42,25 @@ def test_rolling_hash_equals_direct_hash(s, k, canonical):
     assert list(zip(starts.tolist(), [int(x) for x in h], strict=True)) == expected
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("ACGTN", max_size=90), st.sampled_from([1, 2, 3, 7, 12, 21, 31, 32]))
+def test_packed_windows_equal_strings(s, k):
+    starts, keys = dna.packed_windows(dna.CODES[np.frombuffer(s.encode(), np.uint8)], k)
+    code = lambda w: int(w.translate(str.maketrans("ACGT", "0123")), 4)
+    expected = [(i, code(min(w, rc(w)))) for i in range(len(s) - k + 1) if "N" not in (w := s[i : i + k])]
+    assert list(zip(starts.tolist(), [int(x) for x in keys], strict=True)) == expected
+
+
+def test_packed_counts_equal_string_counts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, "".join(rng.choice(list("ACGTN"), 400))) for g in "aabc"] + [("d", None), (None, "ACGTACGTACGT"), ("e", "")]
+    df = spark.createDataFrame(rows, "g string, seq string")
+    got = {(r.g, r.kmer): r.n for r in abundance.kmer_counts(df, 9, ["g"]).select("g", dna.unpacked("key", 9).alias("kmer"), "n").collect()}
+    assert got == Counter((r.g, r.kmer) for r in dna.kmers(df, 9).collect())
+    total = {r.key: r.n for r in abundance.kmer_counts(df, 9).collect()}
+    assert sum(total.values()) == sum(got.values()) and len(total) == len({k for _, k in got})
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, M))
 def test_finalizer_is_xxhash64(x):
