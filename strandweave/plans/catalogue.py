@@ -349,7 +349,7 @@ def _written(spark, lines: DataFrame, option: dict) -> list[str]:
 
 def _windows_of(spark, paths: list[str], k: int) -> DataFrame:
     rows = sequences.read_sequences(spark, paths, k).select("seq")
-    counted = abundance.counts(dna.kmers(rows, k).select("kmer"), "kmer")
+    counted = abundance.kmer_counts(rows, k)
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.count("*").alias("n_distinct"))
 
 
