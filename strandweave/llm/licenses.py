@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import text_key
@@ -59,9 +59,13 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
 
 
-def _grams(words: str, k: int):
-    """Hash of the k words from each place (of fewer at the end, which no template has)."""
-    return F.transform(words, lambda x, i: F.xxhash64(F.lit(k), x, *[F.get(F.col(words), i + j) for j in range(1, k)]))
+def _hashes(words: str) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _grams(hashes: str, k: int) -> Column:
+    """Hash of the k words' hashes from each place (of fewer at the end, which no template has)."""
+    return F.transform(hashes, lambda x, i: F.xxhash64(F.lit(k), x, *[F.get(F.col(hashes), i + j) for j in range(1, k)]))
 
 
 def _templates(spark, base: dict, notices: dict) -> tuple[DataFrame, DataFrame, int]:
@@ -75,8 +79,8 @@ def _templates(spark, base: dict, notices: dict) -> tuple[DataFrame, DataFrame,
         rows += [(info[-1][0], y, k, w[y : y + k]) for y in range(len(w) - k + 1)]
     t = spark.createDataFrame(rows, "template int, y int, k int, gram array<string>")
     # the same expression as for texts, so that equal words have equal hashes
-    hashed = F.when(F.col("k") == 2, F.xxhash64(F.lit(2), *[F.get("gram", F.lit(j)) for j in range(2)])).otherwise(F.xxhash64(F.lit(GRAM), *[F.get("gram", F.lit(j)) for j in range(GRAM)]))
-    t = t.withColumn("hash", hashed)
+    gram = lambda k: F.xxhash64(F.lit(k), *[F.xxhash64(F.get("gram", F.lit(j))) for j in range(k)])
+    t = t.withColumn("hash", F.when(F.col("k") == 2, gram(2)).otherwise(gram(GRAM)))
     # the text itself: one row that every text has, so that no second pass or join is needed
     doc = spark.createDataFrame([(_DOC, 0, 0, [])], "template int, y int, k int, gram array<string>").withColumn("hash", F.lit(_DOC).cast("long"))
     return t.unionByName(doc), spark.createDataFrame(info, "template int, label string, is_base boolean, grams int"), len(rows) + 1
@@ -90,8 +94,8 @@ def scan(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) -> DataFra
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     texts = docs.select("doc_id", text_key("text").alias("text_key"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     n = F.size("words")
-    grams = F.concat(F.array(F.lit(_DOC).cast("long")), _grams("words", 2), _grams("words", GRAM))
-    rolled = texts.select("doc_id", "text_key", "words", F.posexplode(grams).alias("at", "hash"))
+    grams = F.concat(F.array(F.lit(_DOC).cast("long")), _grams("hashes", 2), _grams("hashes", GRAM))
+    rolled = texts.withColumn("hashes", _hashes("words")).select("doc_id", "text_key", "words", F.posexplode(grams).alias("at", "hash"))
     small = F.broadcast(templates) if places <= BROADCAST_PLACES else templates
     hits = rolled.join(small, "hash").withColumn("x", F.when(F.col("template") == _DOC, n).otherwise((F.col("at") - 1) % F.greatest(n, F.lit(1))))
     hits = hits.where((F.col("template") == _DOC) | (F.slice("words", F.col("x") + 1, F.col("k")) == F.col("gram")))
