@@ -95,7 +95,10 @@ def scan(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) -> DataFra
     texts = docs.select("doc_id", text_key("text").alias("text_key"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     n = F.size("words")
     grams = F.concat(F.array(F.lit(_DOC).cast("long")), _grams("hashes", 2), _grams("hashes", GRAM))
-    rolled = texts.withColumn("hashes", _hashes("words")).select("doc_id", "text_key", "words", F.posexplode(grams).alias("at", "hash"))
+    # grams are a column of their own before they are exploded: with lambdas inside it, explode would leave generated code and
+    # copy all words for every row; the outer form (no array is empty) keeps Spark from inferring a filter that would make them twice
+    made = texts.withColumn("hashes", _hashes("words")).withColumn("grams", grams)
+    rolled = made.select("doc_id", "text_key", "words", F.posexplode_outer("grams").alias("at", "hash"))
     small = F.broadcast(templates) if places <= BROADCAST_PLACES else templates
     hits = rolled.join(small, "hash").withColumn("x", F.when(F.col("template") == _DOC, n).otherwise((F.col("at") - 1) % F.greatest(n, F.lit(1))))
     hits = hits.where((F.col("template") == _DOC) | (F.slice("words", F.col("x") + 1, F.col("k")) == F.col("gram")))
