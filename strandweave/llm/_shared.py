@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + base
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default of 10,000: texts are long, and a batch is held several
+#: times over (by Spark, by Arrow, as words) in each Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; Spark deletes nothing there, see README."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
@@ -39,6 +50,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, and a
     lost executor costs only the tasks that it was running."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

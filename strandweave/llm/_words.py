@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text taken in one numpy pass; a longer text makes a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runs import block_pairs, grouped, runs
-from ._shared import stage, text_key
+from ._shared import partitions, stage, text_key
 from ._words import Words, mix, passes, rolling
 from .components import components
 
@@ -166,7 +166,8 @@ def classified(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS)
 def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, m: int) -> DataFrame:
     """Verified links (a, b) between classes, enough of them to span every component."""
     tables = [F.xxhash64(F.lit(i * m + j), F.col("halves")[i], F.col("halves")[j]) for i in range(m) for j in range(i + 1, m)]
-    keys = reps.select("v", "n", F.explode(F.array(*tables)).alias("key"))
+    # a class makes as many rows as there are tables: deal the classes out first, so that no task aggregates many
+    keys = reps.repartition(partitions(reps), "v").select("v", "n", F.explode(F.array(*tables)).alias("key"))
     centre = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("centre")).where("members > 1")
     member = stage(keys.join(centre.select("key", "centre"), "key").where("v != centre"), "members")
     first = stage(_compare(docs, reps, member.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), k, percent), "compared")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out
+from ._shared import held_out, small_batches
 from ._words import Words, passes
 from .labelled import examples, sample, text_key
 
@@ -221,6 +221,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.001) -> RuleModel:
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """(*keep, features): the statistics of every whole text; keep: columns without nested names clashing."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out
+from ._shared import held_out, small_batches
 from ._words import Words, mix, passes, rolling
 from .labelled import examples, sample, text_key
 
@@ -119,6 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, epochs: int =
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column score; its other columns stay. Null text counts as empty."""
 
+    small_batches(docs.sparkSession)
+
     def run(texts):
         for t in texts:
             yield pa.array(np.concatenate([model.score(data, offsets) for _, _, data, offsets in passes(t)]) if len(t) else np.zeros(0))
