@@ -7,6 +7,8 @@ does not depend on the process, the batch or the word's place.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -125,6 +127,9 @@ def passes(column: pa.Array, limit: int = PASS_BYTES):
         column = column.combine_chunks()
     if not len(column):
         return
+    # a worker that encoded tokens before and now works on words has no use for its table of chunks
+    if encoders := sys.modules.get(f"{__package__}.tokens"):
+        encoders.release()
     wide = pa.types.is_large_string(column.type)
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)

@@ -165,6 +165,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Give the tables back: Python workers live on, and what they do next has use for the memory."""
+    _encoders.clear()
+
+
 #: Bytes of text encoded in one go.
 GO_BYTES = 1 << 20
 
