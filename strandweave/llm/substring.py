@@ -8,13 +8,16 @@ equal passages share the smallest token under most hash functions, so equal keys
 
 1. windows: one numpy pass over the texts builds the long nodes of the trees level by level, for all texts of a pass
    at once. Each keeps two small hashes of what lies just before and after its token.
-2. join: of the windows with one key the document with the smallest hashed id is the centre, and so
-   for each key with its left and with its right context apart, which keeps a common token from hiding a passage. Every other
-   document makes one candidate with it: the diagonal between the two tokens, and the overlap of the two windows, which must be
-   long enough. Minimums are pre-aggregated, joins are those that adaptive execution can split.
-3. verification: documents with enough hash functions on neighbouring diagonals are aligned there on their
-   whole texts; a passage is a maximal run of matching shingles with short gaps, of at least ``min_words`` words, whose sets
+2. join: of the windows with one key the one with the smallest hashed document id is the centre, and so
+   for each key with its left and with its right context apart, which keeps a common token from hiding a passage. Every
+   other document's window is one hit with it. Minimums are pre-aggregated, joins are those that adaptive execution can split.
+3. verification: the pairs of documents of all hits are aligned on their whole texts, at the diagonals of the hits; a passage is a
+   maximal run of matching shingles with short gaps, of at least ``min_words`` words, whose sets
    have a Jaccard similarity of at least ``percent``.
+4. the rest: what two windows share beyond what either shares with their centre starts, on the left or the right, where both
+   differ from the centre in the same way. So each hit leaves probes (centre, offset, token) where it differs outside of verified
+   passages, and windows with one probe in common are a group of their own, with a new centre, until none are. Every
+   such group shares more offsets than the one it comes from, of which a window has under twice the wanted length.
 
 Centres come first in one fixed order of documents, so that of each passage one document keeps its copy.
 """
@@ -32,12 +35,12 @@ from .minhash import common
 
 SHINGLE = 5
 HASHES = 4
-#: Hash functions that must agree: of four, two or more do with a chance of 97 % at a similarity of 0.8.
-NEED = 2
 #: Diagonals of one alignment: a word more or less moves what follows by one.
 BAND = 8
 #: Shingles that an edit may break before a run ends: two edits of a word apart.
 GAP = 2 * SHINGLE + 2
+#: Where a window differs from its centre for long, every so many offsets are probes too: an edit there hides only some.
+STEP = 8
 
 _PLACE = 26
 _MASK = np.uint64((1 << _PLACE) - 1)
@@ -76,7 +79,7 @@ def _windows(least: int):
     seeds = mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        cols: list[list[np.ndarray]] = [[] for _ in _LISTS]
         counts = []
         for _, _, data, offsets in passes(b.column("text")):
             g, ends = Words(data, offsets).shingles(SHINGLE)
@@ -85,21 +88,21 @@ def _windows(least: int):
             for j in range(HASHES):
                 h = mix(g ^ seeds[j])
                 l, c, r = windows(h, ends, least)
-                found.append((np.full(len(c), j), h[c], l, c, r))
-            j, key, l, c, r = (np.concatenate(x) for x in zip(*found, strict=True))
+                found.append((h[c], l, c, r))
+            key, l, c, r = (np.concatenate(x) for x in zip(*found, strict=True))
             of = np.searchsorted(ends, c, side="right")
             order = np.argsort(of, kind="stable")
-            j, key, l, c, r, of = (x[order] for x in (j, key, l, c, r, of))
+            key, l, c, r, of = (x[order] for x in (key, l, c, r, of))
             # contexts: the two shingles that follow the token's words, and the two before; cut at the text's ends
             after = [np.where(c + d < ends[of], g[np.minimum(c + d, len(g) - 1)], np.uint64(d)) for d in (SHINGLE, 2 * SHINGLE)] if len(c) else [c, c]
             before = [np.where(c - d >= begins[of], g[np.maximum(c - d, 0)], np.uint64(d)) for d in (SHINGLE, 2 * SHINGLE)] if len(c) else [c, c]
             base = begins[of]
             left, right = (_short(mix(x[0].astype(np.uint64)) ^ x[1].astype(np.uint64)) for x in (before, after))
-            for to, x in zip(cols, (j, key.view(np.int64), c - base, np.minimum(c - l, least), np.minimum(r - c, least), left, right), strict=True):
+            for to, x in zip(cols, (key.view(np.int64), c - base, np.minimum(c - l, least), np.minimum(r - c, least), left, right), strict=True):
                 to.append(x)
             counts.append(np.bincount(of, minlength=len(ends)))
         size = np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32)
-        kinds = (pa.int8(), pa.int64(), pa.int32(), *(pa.int16(),) * 4)
+        kinds = (pa.int64(), pa.int32(), *(pa.int16(),) * 4)
         lists = [pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(x)).cast(k)) for x, k in zip(cols, kinds, strict=True)]
         return pa.RecordBatch.from_arrays([b.column("v"), *lists], ["v", *_LISTS])
 
@@ -111,27 +114,24 @@ def _windows(least: int):
     return run
 
 
-_LISTS = ("j", "key", "c", "before", "after", "left", "right")
+_LISTS = ("key", "c", "before", "after", "left", "right")
 
 
-def _align(a: np.ndarray, b: np.ndarray, diagonals: list[tuple[int, int]], least: int, percent: int):
-    """Verified passages (a_from, a_to, b_from, b_to, similarity) in shingles; diagonals: (a - b, hash functions as bits)."""
-    diagonals = sorted(diagonals)
+def _align(a: np.ndarray, b: np.ndarray, diagonals: list[int], least: int, percent: int):
+    """Verified passages (a_from, a_to, b_from, b_to, similarity) in shingles; diagonals: a - b, sorted."""
     i = 0
     while i < len(diagonals):
-        k, bits = i, 0
-        while k < len(diagonals) and (k == i or diagonals[k][0] - diagonals[k - 1][0] <= BAND):
-            bits |= diagonals[k][1]
+        k = i + 1
+        while k < len(diagonals) and diagonals[k] - diagonals[k - 1] <= BAND:
             k += 1
-        if bits.bit_count() >= NEED:
-            runs = []
-            for d in sorted({d for d, _ in diagonals[i:k]}):
-                lo, hi = max(0, d), min(len(a), len(b) + d)
-                if hi > lo:
-                    same = np.concatenate(([0], (a[lo:hi] == b[lo - d : hi - d]).view(np.int8), [0]))
-                    edge = np.flatnonzero(np.diff(same))
-                    runs += [(lo + s, lo + e, d) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            yield from _chain(a, b, sorted(runs), least, percent)
+        runs = []
+        for d in diagonals[i:k]:
+            lo, hi = max(0, d), min(len(a), len(b) + d)
+            if hi > lo:
+                same = np.concatenate(([0], (a[lo:hi] == b[lo - d : hi - d]).view(np.int8), [0]))
+                edge = np.flatnonzero(np.diff(same))
+                runs += [(lo + s, lo + e, d) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        yield from _chain(a, b, sorted(runs), least, percent)
         i = k
 
 
@@ -168,6 +168,37 @@ def _passage(a, b, part, least, percent):
             yield s, e, x, y, both / union
 
 
+#: Of a hit: places in both texts, tokens of the window before and after, offsets that its group has in common.
+_HIT = ("c", "bc", "before", "after", "low", "high")
+#: Hits whose offsets are compared at once.
+_HITS = 4096
+
+
+def _probes(a: np.ndarray, b: np.ndarray, at: int, hits: np.ndarray, found: list, least: int):
+    """(key, n, offset), for the n-th of ``hits`` (columns as _HIT): where a's window differs from b's beyond ``low`` and
+    ``high`` and beyond verified passages around it, the start of each difference and every STEP-th offset. A key stands for b's
+    window (``at``: b's name), the offset and a's token."""
+    o = np.arange(1 - least, least)
+    for i in range(0, len(hits), _HITS):
+        c, bc, before, after, low, high = (hits[i : i + _HITS, k] for k in range(len(_HIT)))
+        low, high = low.copy(), high.copy()
+        for s, e, x, y, _ in found:
+            inside = (s <= c) & (c < e) & (x <= bc) & (bc < y)
+            low[inside] = np.minimum(low, s - c)[inside]
+            high[inside] = np.maximum(high, e - 1 - c)[inside]
+        p, q = c[:, None] + o, bc[:, None] + o
+        own, there = (o >= -before[:, None]) & (o <= after[:, None]), (q >= 0) & (q < len(b))
+        token = a[np.clip(p, 0, len(a) - 1)]
+        differ = own & ~(there & (token == b[np.clip(q, 0, len(b) - 1)]))
+        low, high = low[:, None], high[:, None]
+        right, left = differ & (o > high), differ & (o < low)
+        edge = np.zeros((len(c), 1), bool)
+        first = right & ~np.hstack((edge, right[:, :-1])) | left & ~np.hstack((left[:, 1:], edge))
+        n, k = np.nonzero(first | (right | left) & (o % STEP == 0))
+        key = mix(mix(np.full(len(n), at, np.int64).view(np.uint64) ^ mix(bc[n].astype(np.uint64))) ^ mix(o[k].view(np.uint64)) ^ token[n, k])
+        yield key.view(np.int64), n + i, o[k]
+
+
 def _verify(min_words: int, percent: int):
     least = min_words - SHINGLE + 1
 
@@ -183,15 +214,57 @@ def _verify(min_words: int, percent: int):
                     own += np.split(g, ends[:-1])
                 tokens.append(own)
             rows: list[tuple] = []
-            for n, (a, b, d) in enumerate(zip(*tokens, batch.column("diagonals").to_pylist(), strict=True)):
-                rows += [(n, *x) for x in _align(a, b, [(x["d"], x["bits"]) for x in d], least, percent)]
-            at = pa.array([r[0] for r in rows], pa.int64())
+            left: list[tuple] = []
+            lists = [batch.column(c) for c in _HIT]
+            at = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy()))
+            hits = np.stack([x.flatten().to_numpy().astype(np.int64) for x in lists], 1)
+            names = [batch.column(c).to_numpy() for c in ("a", "b")]
+            for n, (a, b) in enumerate(zip(*tokens, strict=True)):
+                own = hits[at[n] : at[n + 1]]
+                # windows of the centre's own document have no passage with it, but probes
+                found = [] if names[0][n] == names[1][n] else list(_align(a, b, np.unique(own[:, 0] - own[:, 1]).tolist(), least, percent))
+                rows += [(n, *x) for x in found]
+                for key, k, o in _probes(a, b, int(names[1][n]), own, found, least):
+                    c, _, before, after, low, high = own[k].T
+                    left.append((np.full(len(k), n), key, c, before, after, np.minimum(low, o), np.maximum(high, o)))
+            of = pa.array([r[0] for r in rows], pa.int64())
             words = [pa.array([int(r[1 + k]) + (SHINGLE - 1 if k % 2 else 0) for r in rows], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), *words, pa.array([r[5] for r in rows], pa.float64())], ["a", "b", "first", "last", "other_first", "other_last", "similarity"])
+            passages = [batch.column("a").take(of), batch.column("b").take(of), *words, pa.array([r[5] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*passages, *(pa.nulls(len(rows), t) for t in _PROBE.values())], [*_PASSAGE, *_PROBE])
+            if left:
+                n, *probes = (np.concatenate(x) for x in zip(*left, strict=True))
+                probes = [pa.array(x).cast(t) for x, t in zip(probes, _PROBE.values(), strict=True)]
+                a = batch.column("a").take(pa.array(n))
+                yield pa.RecordBatch.from_arrays([a, *(pa.nulls(len(n), t) for t in list(_PASSAGE.values())[1:]), *probes], [*_PASSAGE, *_PROBE])
 
     return run
 
 
+_PASSAGE = {c: pa.int64() for c in ("a", "b", "first", "last", "other_first", "other_last")} | {"similarity": pa.float64()}
+_PROBE = {"key": pa.int64(), "c": pa.int32()} | {c: pa.int16() for c in ("before", "after", "low", "high")}
+_FOUND = "a long, b long, first long, last long, other_first long, other_last long, similarity double, key long, c int, before smallint, after smallint, low smallint, high smallint"
+
+
+def _hits(sided: DataFrame) -> DataFrame:
+    """(a, b, arrays of _HIT) for windows (v, key, c, before, after, low, high): of those with one key each with the centre, once for
+    each two windows. Groups within one document have none."""
+    centre = sided.groupBy("key").agg(F.min(F.struct("v", "c")).alias("o"), F.max("v").alias("most")).where("o.v < most")
+    hits = sided.join(centre.select("key", F.col("o.v").alias("b"), F.col("o.c").alias("bc")), "key").where("v != b")
+    span = F.struct((F.col("high") - F.col("low")).alias("span"), "low", "high", "before", "after")
+    once = hits.groupBy(F.col("v").alias("a"), "b", "c", "bc").agg(F.min(span).alias("s"))
+    listed = once.groupBy("a", "b").agg(F.collect_list(F.struct("c", "bc", "s.before", "s.after", "s.low", "s.high")).alias("hits"))
+    return listed.select("a", "b", *[F.col(f"hits.{c}").alias(c) for c in _HIT])
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, min_words: int, percent: int) -> DataFrame:
+    """Passages and probes of ``_hits``."""
+    used = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    own = stage(texts.join(used, "v").select("v", "text"), "texts")
+    full = pairs.join(own.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
+    full = full.join(own.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+    return stage(full.mapInArrow(_verify(min_words, percent), _FOUND), "passages")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(v, doc_id, text): v names a text of a doc_id; rows that are equal in both are one document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -211,7 +284,7 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     if least < 2:
         raise ValueError(f"min_words must be over {SHINGLE}")
     texts = _texts(docs)
-    schema = "v long, j array<tinyint>, key array<long>, c array<int>, " + ", ".join(f"{c} array<smallint>" for c in _LISTS[3:])
+    schema = "v long, key array<long>, c array<int>, " + ", ".join(f"{c} array<smallint>" for c in _LISTS[2:])
     made = stage(texts.select("v", "text").mapInArrow(_windows(least), schema).where(F.size("key") > 0), "windows")
     flat = made.select("v", F.inline(F.arrays_zip(*_LISTS)))
     several = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -220,23 +293,19 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     # each window under its key with what is before, and with what is after: a passage of 50 words or more holds
     # at least one of the two, wherever its token is
     contexts = F.array(F.xxhash64(F.lit(1), "key", "left"), F.xxhash64(F.lit(2), "key", "right"))
-    sided = met.select("v", "j", "c", "before", "after", F.explode(contexts).alias("key"))
-    centre = sided.groupBy("key").agg(F.min("v").alias("b"), F.max("v").alias("most")).where("b < most").select("key", "b")
-    members = sided.join(centre, "key")
-    first = members.where("v = b").groupBy("key").agg(F.min("c").alias("bc"), F.min_by("before", "c").alias("b_before"), F.min_by("after", "c").alias("b_after"))
-    pairs = members.where("v != b").join(first, "key")
-    overlap = F.least("before", "b_before") + F.least("after", "b_after") + 1
-    pairs = pairs.where(overlap >= least).groupBy(F.col("v").alias("a"), "b", (F.col("c") - F.col("bc")).alias("d"))
-    pairs = pairs.agg(F.bit_or(F.expr("shiftleft(1, cast(j AS int))")).alias("bits"))
-    pairs = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("d", "bits")).alias("diagonals"), F.bit_or("bits").alias("all"))
-    pairs = stage(pairs.where(F.bit_count("all") >= NEED).drop("all"), "pairs")
-
+    none = F.lit(0).cast("smallint")
+    sided = met.select("v", "c", "before", "after", none.alias("low"), none.alias("high"), F.explode(contexts).alias("key"))
+    pairs = stage(_hits(sided), "pairs")
     used = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
     texts = stage(texts.join(used, "v").dropDuplicates(["v"]), "texts")
-    full = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-    found = full.mapInArrow(_verify(min_words, percent), "a long, b long, first long, last long, other_first long, other_last long, similarity double")
-    found = stage(found, "passages")
+    found = None
+    while found is None or not pairs.isEmpty():
+        made = _compared(pairs, texts, min_words, percent)
+        own = made.where("key IS NULL").select(*_PASSAGE)
+        found = own if found is None else found.unionByName(own)
+        pairs = stage(_hits(made.where("key IS NOT NULL").select(F.col("a").alias("v"), *_PROBE)), "pairs")
+    # passages that several rounds met
+    found = stage(found.distinct(), "passages")
     ids = texts.select("v", "doc_id")
     out = found.join(ids.select(F.col("v").alias("a"), "doc_id"), "a").join(ids.select(F.col("v").alias("b"), F.col("doc_id").alias("other_doc_id")), "b")
     # two texts under one doc_id are one document

@@ -209,6 +209,33 @@ def test_one_passage_in_many_documents(spark):
     assert len({r.doc_id for r in got}) == 299
 
 
+def test_passages_that_many_others_quote_in_part(spark):
+    """Two holders of a whole passage meet, whichever document of those that quote 25 to 49 words of it is the centre."""
+    rng = random.Random(12)
+    texts, holders = [], []
+    for case in range(12):
+        n = [60, 49 + 11, 100, 200][case % 4]
+        p = prose(rng, n, 10**6).split()
+        around = lambda x: " ".join([prose(rng, rng.randrange(10, 60), 10**6), *x, prose(rng, rng.randrange(10, 60), 10**6)])
+        if case % 3 == 2:  # the holders differ by a word
+            q = [*p[: n // 2], "changed", *p[n // 2 + 1 :]]
+        else:
+            q = p
+        holders.append((len(texts), len(texts) + 1, n))
+        texts += [around(p), around(q)]
+        for _ in range(40 if n == 200 else 20):
+            length = rng.randrange(38, 50)
+            at = rng.randrange(n - length + 1)
+            texts.append(around(p[at : at + length]))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = {}
+    for r in substring.repeats(docs(spark, texts, ids)).collect():
+        got.setdefault(frozenset((r.doc_id, r.other_doc_id)), []).append(r.end_word - r.first_word)
+    assert {pair: max(x) for pair, x in got.items()}.keys() == {frozenset((ids[a], ids[b])) for a, b, _ in holders}
+    assert all(max(got[frozenset((ids[a], ids[b]))]) >= n for a, b, n in holders)
+
+
 def test_cut_keeps_one_copy_and_everything_else(spark):
     texts = repeated_corpus(6)
     rows = substring.without_repeats(docs(spark, texts))
