@@ -136,7 +136,7 @@ def _align(a: np.ndarray, b: np.ndarray, diagonals: list[int], least: int, perce
 
 
 def _chain(a, b, runs, least, percent):
-    """Join runs over gaps of at most GAP on both sides; a chain that fails falls apart into its runs."""
+    """Join runs over gaps of at most GAP on both sides; of a chain that fails its ``_parts`` count."""
     i = 0
     while i < len(runs):
         chain = [runs[i]]
@@ -153,8 +153,55 @@ def _chain(a, b, runs, least, percent):
                 break
         whole = list(_passage(a, b, chain, least, percent))
         yield from whole
-        for run in () if whole else chain:
-            yield from _passage(a, b, [run], least, percent)
+        if not whole:
+            yield from _parts(a, b, chain, least, percent)
+
+
+def _parts(a, b, chain, least, percent):
+    """The passages from one run of a chain to another that lie in no longer such one. For each start the sets of all ends are counted
+    at once: a token is new at its first place from the start on."""
+    s, e, d = np.array(chain).T
+    x, y = s - d, e - d
+    if e[-1] - s[0] < least or y.max() - x[0] < least:
+        return
+    reached = -1
+    if (np.diff(y) <= 0).any():  # ends that don't grow on both sides: one by one
+        for i in range(len(chain)):
+            for j in range(len(chain) - 1, max(reached, i - 1), -1):
+                if found := list(_passage(a, b, chain[i : j + 1], least, percent)):
+                    yield from found
+                    reached = j
+                    break
+        return
+    n, size = len(chain), int(e[-1] - s[0])
+    ids = np.unique(np.concatenate((a[s[0] : e[-1]], b[x[0] : y[-1]])), return_inverse=True)[1]
+    sides = [(own, _previous(own), begin - begin[0], end - begin[0]) for own, begin, end in ((ids[:size], s, e), (ids[size:], x, y))]
+    for i in range(n):
+        if e[-1] - s[i] < least:
+            break
+        counts, first = [], []
+        for own, previous, begin, end in sides:
+            new = np.flatnonzero(previous[begin[i] :] < begin[i]) + begin[i]
+            at = np.searchsorted(end, new, side="right")
+            counts.append(np.cumsum(np.bincount(at, minlength=n)))
+            by = np.full(int(ids.max()) + 1, n)
+            by[own[new]] = at
+            first.append(by)
+        both = np.cumsum(np.bincount(np.maximum(*first), minlength=n + 1))[:n]
+        union = counts[0] + counts[1] - both
+        good = np.flatnonzero((e - s[i] >= least) & (y - x[i] >= least) & (100 * both >= percent * union))
+        if len(good) and good[-1] > reached and good[-1] >= i:
+            j = reached = int(good[-1])
+            yield int(s[i]), int(e[j]), int(x[i]), int(y[j]), float(both[j] / union[j])
+
+
+def _previous(x: np.ndarray) -> np.ndarray:
+    """Of each place the one before it that has the same value, or -1."""
+    order = np.argsort(x, kind="stable")
+    out = np.full(len(x), -1)
+    same = x[order[1:]] == x[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
 def _passage(a, b, part, least, percent):

@@ -236,6 +236,42 @@ def test_passages_that_many_others_quote_in_part(spark):
     assert all(max(got[frozenset((ids[a], ids[b]))]) >= n for a, b, n in holders)
 
 
+def test_passages_beside_looser_copies(spark):
+    """A passage with one changed word is found, whatever looser copy of the text around it adjoins it."""
+    rng = random.Random(13)
+    texts = []
+    for case in range(12):
+        p, more = prose(rng, 80, 10**6).split(), prose(rng, [60, 200][case % 2], 10**6).split()
+        q, every = list(p), [9, 11, 13][case % 3]
+        q[40] = "changed"
+        loose = [f"x{rng.randrange(10**6)}" if i % every == every // 2 else w for i, w in enumerate(more)]
+        both = [(p + more, q + loose), (more + p, loose + q)][case // 6]
+        texts += [prose(rng, 30, 10**6) + " " + " ".join(x) + " " + prose(rng, 30, 10**6) for x in both]
+    got = {}
+    for r in substring.repeats(docs(spark, texts)).collect():
+        got.setdefault(frozenset((r.doc_id, r.other_doc_id)), []).append(r.end_word - r.first_word)
+        assert r.similarity >= 0.8
+    assert got.keys() == {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
+    assert all(max(x) >= 78 for x in got.values())
+
+
+def test_parts_of_chains_equal_brute_force():
+    rng = np.random.default_rng(3)
+    several = 0
+    for case in range(300):
+        tokens = rng.integers(0, [5, 60, 10**9][case % 3], 300).astype(np.uint64)
+        a, b = tokens.copy(), tokens.copy()
+        b[np.flatnonzero(rng.random(300) < rng.choice([0.05, 0.12, 0.2]))] = 10**10
+        chain, at = [], np.flatnonzero(np.diff(np.concatenate(([0], a == b, [0]))))
+        for s, e in zip(at[::2].tolist(), at[1::2].tolist(), strict=True):
+            chain.append((s, e, 0))
+        every = [(i, j, *x) for i in range(len(chain)) for j in range(i, len(chain)) for x in substring._passage(a, b, chain[i : j + 1], 20, 80)]
+        expected = [x[2:] for x in every if not any((o[0] <= x[0] and o[1] >= x[1]) and o[:2] != x[:2] for o in every)]
+        assert list(substring._parts(a, b, chain, 20, 80)) == expected
+        several += len(expected) > 1
+    assert several > 20
+
+
 def test_cut_keeps_one_copy_and_everything_else(spark):
     texts = repeated_corpus(6)
     rows = substring.without_repeats(docs(spark, texts))
