@@ -10,7 +10,7 @@ equal passages share the smallest token under most hash functions, so equal keys
    at once. Each keeps two small hashes of what lies just before and after its token.
 2. join: of the windows with one key the one with the smallest hashed document id is the centre, and so
    for each key with its left and with its right context apart, which keeps a common token from hiding a passage. Every
-   other document's window is one hit with it. Minimums are pre-aggregated, joins are those that adaptive execution can split.
+   other window is one hit with it; those of its own document only leave probes (4). Minimums are pre-aggregated, joins are those that adaptive execution can split.
 3. verification: the pairs of documents of all hits are aligned on their whole texts, at the diagonals of the hits; a passage is a
    maximal run of matching shingles with short gaps, of at least ``min_words`` words, whose sets
    have a Jaccard similarity of at least ``percent``.
@@ -294,9 +294,9 @@ _FOUND = "a long, b long, first long, last long, other_first long, other_last lo
 
 def _hits(sided: DataFrame) -> DataFrame:
     """(a, b, arrays of _HIT) for windows (v, key, c, before, after, low, high): of those with one key each with the centre, once for
-    each two windows. Groups within one document have none."""
+    each two windows; other windows of the centre's document too, which only leave probes. Groups within one document have none."""
     centre = sided.groupBy("key").agg(F.min(F.struct("v", "c")).alias("o"), F.max("v").alias("most")).where("o.v < most")
-    hits = sided.join(centre.select("key", F.col("o.v").alias("b"), F.col("o.c").alias("bc")), "key").where("v != b")
+    hits = sided.join(centre.select("key", F.col("o.v").alias("b"), F.col("o.c").alias("bc")), "key").where("v != b OR c != bc")
     span = F.struct((F.col("high") - F.col("low")).alias("span"), "low", "high", "before", "after")
     once = hits.groupBy(F.col("v").alias("a"), "b", "c", "bc").agg(F.min(span).alias("s"))
     listed = once.groupBy("a", "b").agg(F.collect_list(F.struct("c", "bc", "s.before", "s.after", "s.low", "s.high")).alias("hits"))

@@ -272,6 +272,18 @@ def test_parts_of_chains_equal_brute_force():
     assert several > 20
 
 
+def test_passages_after_their_own_fragments(spark):
+    """A document that has most of a passage before the whole of it offers both places, as the centre too."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(100):
+        p = prose(rng, 60, 10**6)
+        part = " ".join(p.split()[5:54])
+        texts += [" ".join([part, prose(rng, 20, 10**6), p, prose(rng, 20, 10**6)]), " ".join([prose(rng, 20, 10**6), p, prose(rng, 20, 10**6)])]
+    got = {frozenset((r.doc_id, r.other_doc_id)) for r in substring.repeats(docs(spark, texts)).where("end_word - first_word >= 60").collect()}
+    assert got == {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
+
+
 def test_cut_keeps_one_copy_and_everything_else(spark):
     texts = repeated_corpus(6)
     rows = substring.without_repeats(docs(spark, texts))
