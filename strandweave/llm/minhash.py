@@ -8,7 +8,7 @@ candidate once two collections agree. Candidates are verified on full shingle se
 Steps, none of which emits all pairs of a group or gathers one in a task:
 
 1. signatures: one pass over the texts (numpy in Arrow batches); documents with equal shingle
-   sets become one class, named by its smallest doc_id.
+   sets become one class, named by a hash of its set; classes that share a doc_id are linked.
 2. per table key the member with the smallest hashed id is the centre; every other member makes
    one candidate pair with it (pre-aggregated minimum, then a join that adaptive execution splits
    when a key is hot). Verified pairs are links; components follow.
@@ -149,16 +149,20 @@ def classified(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("text_key"))
     schema = "doc_id long, text_key long, n long, set1 long, set2 long, halves array<long>"
     signed = stage(docs.mapInArrow(_signatures(k, m, rows), schema), "signatures")
+    signed = signed.withColumn("v", F.xxhash64("set1", "set2"))
     real = signed.where("n > 0 and doc_id is not null")
     classes = real.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
     reps = real.join(classes, ["set1", "set2"]).where("doc_id = rep").dropDuplicates(["rep", "set1", "set2"])
-    reps = stage(reps.select("rep", "text_key", "n", "halves", F.xxhash64("rep").alias("v")), "classes")
-
-    links = _links(docs, reps, k, percent, m)
-    label = reps.select("rep", "v").join(components(links), "v", "left")
-    named = label.groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("rep").alias("component_id"))
-    label = label.select("rep", F.coalesce("component", "v").alias("c")).join(named, "c").select("rep", "component_id")
-    of = signed.join(classes, ["set1", "set2"], "left").join(label, "rep", "left")
+    reps = stage(reps.select("rep", "text_key", "n", "halves", "v"), "classes")
+
+    # classes that share a doc_id are linked by it
+    several = real.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("doc_id", "a")
+    shared = real.join(several, "doc_id").where("v != a").select("a", F.col("v").alias("b")).distinct()
+    links = _links(docs, reps, k, percent, m).unionByName(shared)
+    label = reps.select("rep", "v").join(components(links), "v", "left").withColumn("c", F.coalesce("component", "v"))
+    named = label.groupBy("c").agg(F.min("rep").alias("component_id"))
+    label = label.select("v", "c").join(named, "c").select("v", "component_id")
+    of = signed.join(label, "v", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return of.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

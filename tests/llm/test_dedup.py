@@ -110,6 +110,18 @@ def test_near_duplicates_awkward_rows(spark):
     assert minhash.near_duplicates(docs(spark, []), 3, 85).collect() == []
 
 
+def test_one_doc_id_with_two_texts(spark):
+    rng = random.Random(15)
+    texts, ids = [], []
+    for i in range(0, 80, 8):
+        x, y = prose(rng, 80), prose(rng, 80)
+        # i + 4 has a near copy of i's text and one of i + 6's
+        texts += [x, x + " more", y + " other", y, prose(rng, 80)]
+        ids += [i, i + 4, i + 4, i + 6, i + 7]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, texts, ids), 3, 85).collect())
+    assert got == sorted((d, d if d % 8 == 7 else d // 8 * 8, d % 8 in (0, 7)) for d in ids)
+
+
 def test_table_keys_reach_the_threshold():
     m = minhash.collections(0.85)
     p = 0.85**minhash.ROWS
