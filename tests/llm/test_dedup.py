@@ -296,6 +296,18 @@ def test_passages_after_their_own_fragments(spark):
     assert got == {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
 
 
+def test_passages_just_at_the_threshold(spark):
+    """50 words with one changed, similarity 41 / 51: missed with a chance of 2 in 10,000."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(400):
+        p = prose(rng, 50, 10**6).split()
+        q = [*p[:25], "changed", *p[26:]]
+        texts += [" ".join([prose(rng, 30, 10**6), *x, prose(rng, 30, 10**6)]) for x in (p, q)]
+    got = {frozenset((r.doc_id, r.other_doc_id)) for r in substring.repeats(docs(spark, texts)).collect()}
+    assert got <= {frozenset((i, i + 1)) for i in range(0, 800, 2)} and len(got) >= 398
+
+
 def test_cut_keeps_one_copy_and_everything_else(spark):
     texts = repeated_corpus(6)
     rows = substring.without_repeats(docs(spark, texts))
