@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -30,19 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + base
 
 
-#: Rows of an Arrow batch where the session leaves Spark's default of 10,000: texts are long, and a batch is held several
-#: times over (by Spark, by Arrow, as words) in each Python worker.
+#: Rows of an Arrow batch in staged work, where the session leaves Spark's default of 10,000: texts are long, and a batch is held
+#: several times over (by Spark, by Arrow, as words) in each Python worker.
 BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) == 10_000:
-        spark.conf.set(name, str(BATCH_ROWS))
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files of a query go with it, not whenever the driver happens to collect its garbage: what was staged is in the shared folder.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession):
+    """The session's settings while a table is staged; the caller's own come back."""
+    own = {_CLEAN: "true"}
+    if int(spark.conf.get(_BATCH, "10000")) == 10_000:
+        own[_BATCH] = str(BATCH_ROWS)
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; Spark deletes nothing there, see README."""
+    """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -50,10 +64,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, and a
     lost executor costs only the tasks that it was running."""
     spark = df.sparkSession
-    small_batches(spark)
     path = new_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_staged_at"] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` gave: nothing that is still to be run may read them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.__dict__["_staged_at"])
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def raw_fs(uri: str):

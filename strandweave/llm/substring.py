@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stage, text_key
+from ._shared import drop, stage, text_key
 from ._words import Words, mix, passes
 from .minhash import common
 
@@ -71,12 +71,19 @@ def windows(h: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    return (mix(x) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+def _first(of: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """1 for the first of the rows with one (of, key), else 0."""
+    order = np.lexsort((key, of))
+    new = np.ones(len(order), np.int64)
+    new[1:] = (of[order[1:]] != of[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+    out = np.zeros(len(order), np.int64)
+    out[order] = new
+    return out
 
 
 def _windows(least: int):
     seeds = mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
+    half = np.uint64(32)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list[np.ndarray]] = [[] for _ in _LISTS]
@@ -91,19 +98,19 @@ def _windows(least: int):
                 found.append((h[c], l, c, r))
             key, l, c, r = (np.concatenate(x) for x in zip(*found, strict=True))
             of = np.searchsorted(ends, c, side="right")
-            order = np.argsort(of, kind="stable")
+            order = np.lexsort((c, of))
             key, l, c, r, of = (x[order] for x in (key, l, c, r, of))
             # contexts: the two shingles that follow the token's words, and the two before; cut at the text's ends
             after = [np.where(c + d < ends[of], g[np.minimum(c + d, len(g) - 1)], np.uint64(d)) for d in (SHINGLE, 2 * SHINGLE)] if len(c) else [c, c]
             before = [np.where(c - d >= begins[of], g[np.maximum(c - d, 0)], np.uint64(d)) for d in (SHINGLE, 2 * SHINGLE)] if len(c) else [c, c]
-            base = begins[of]
-            left, right = (_short(mix(x[0].astype(np.uint64)) ^ x[1].astype(np.uint64)) for x in (before, after))
-            for to, x in zip(cols, (key.view(np.int64), c - base, np.minimum(c - l, least), np.minimum(r - c, least), left, right), strict=True):
-                to.append(x)
+            left, right = (mix(mix(x[0].astype(np.uint64)) ^ x[1].astype(np.uint64)) >> half for x in (before, after))
+            first = _first(of, key ^ mix(left)) << 1 | _first(of, key ^ mix(right + np.uint64(1)))
+            window = (c - begins[of]) << 14 | np.minimum(c - l, least) << 8 | np.minimum(r - c, least) << 2 | first
+            for to, x in zip(cols, (key, window, left << half | right), strict=True):
+                to.append(x.view(np.int64))
             counts.append(np.bincount(of, minlength=len(ends)))
         size = np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32)
-        kinds = (pa.int64(), pa.int32(), *(pa.int16(),) * 4)
-        lists = [pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(x)).cast(k)) for x, k in zip(cols, kinds, strict=True)]
+        lists = [pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(x))) for x in cols]
         return pa.RecordBatch.from_arrays([b.column("v"), *lists], ["v", *_LISTS])
 
     def run(batches):
@@ -114,7 +121,9 @@ def _windows(least: int):
     return run
 
 
-_LISTS = ("key", "c", "before", "after", "left", "right")
+#: Of a window: its token's hash; place, tokens before and after (6 bits each) and whether it is the text's first with its left and its right
+#: context; both contexts.
+_LISTS = ("key", "window", "contexts")
 
 
 def _align(a: np.ndarray, b: np.ndarray, diagonals: list[int], least: int, percent: int):
@@ -151,10 +160,16 @@ def _chain(a, b, runs, least, percent):
                 i += 1
             else:
                 break
+        s, e, x, y = chain[0][0], chain[-1][1], chain[0][0] - chain[0][2], max(r[1] - r[2] for r in chain)
+        if e - s < least or y - x < least:
+            continue
         whole = list(_passage(a, b, chain, least, percent))
         yield from whole
         if not whole:
-            yield from _parts(a, b, chain, least, percent)
+            u, w = np.unique(a[s:e]), np.unique(b[x:y])
+            # no part shares more tokens than the whole; one of enough distinct ones needs that many
+            if len(u) < e - s or 100 * common(u, w) >= percent * least:
+                yield from _parts(a, b, chain, least, percent)
 
 
 def _parts(a, b, chain, least, percent):
@@ -162,8 +177,6 @@ def _parts(a, b, chain, least, percent):
     at once: a token is new at its first place from the start on."""
     s, e, d = np.array(chain).T
     x, y = s - d, e - d
-    if e[-1] - s[0] < least or y.max() - x[0] < least:
-        return
     reached = -1
     if (np.diff(y) <= 0).any():  # ends that don't grow on both sides: one by one
         for i in range(len(chain)):
@@ -215,35 +228,109 @@ def _passage(a, b, part, least, percent):
             yield s, e, x, y, both / union
 
 
-#: Of a hit: places in both texts, tokens of the window before and after, offsets that its group has in common.
-_HIT = ("c", "bc", "before", "after", "low", "high")
-#: Hits whose offsets are compared at once.
-_HITS = 4096
-
-
-def _probes(a: np.ndarray, b: np.ndarray, at: int, hits: np.ndarray, found: list, least: int):
-    """(key, n, offset), for the n-th of ``hits`` (columns as _HIT): where a's window differs from b's beyond ``low`` and
-    ``high`` and beyond verified passages around it, the start of each difference and every STEP-th offset. A key stands for b's
-    window (``at``: b's name), the offset and a's token."""
-    o = np.arange(1 - least, least)
-    for i in range(0, len(hits), _HITS):
-        c, bc, before, after, low, high = (hits[i : i + _HITS, k] for k in range(len(_HIT)))
-        low, high = low.copy(), high.copy()
-        for s, e, x, y, _ in found:
-            inside = (s <= c) & (c < e) & (x <= bc) & (bc < y)
-            low[inside] = np.minimum(low, s - c)[inside]
-            high[inside] = np.maximum(high, e - 1 - c)[inside]
-        p, q = c[:, None] + o, bc[:, None] + o
-        own, there = (o >= -before[:, None]) & (o <= after[:, None]), (q >= 0) & (q < len(b))
-        token = a[np.clip(p, 0, len(a) - 1)]
-        differ = own & ~(there & (token == b[np.clip(q, 0, len(b) - 1)]))
-        low, high = low[:, None], high[:, None]
-        right, left = differ & (o > high), differ & (o < low)
-        edge = np.zeros((len(c), 1), bool)
-        first = right & ~np.hstack((edge, right[:, :-1])) | left & ~np.hstack((left[:, 1:], edge))
-        n, k = np.nonzero(first | (right | left) & (o % STEP == 0))
-        key = mix(mix(np.full(len(n), at, np.int64).view(np.uint64) ^ mix(bc[n].astype(np.uint64))) ^ mix(o[k].view(np.uint64)) ^ token[n, k])
-        yield key.view(np.int64), n + i, o[k]
+#: A hit is one long: place of the token, tokens of the window before and after it, those that its group is known to share (6 bits
+#: each), and whether it is the document's first hit of the group.
+_BITS = 25
+
+
+def _packed(c, before, after, low, high, first):
+    return c << _BITS | before << 19 | after << 13 | low << 7 | high << 1 | first
+
+
+#: Hits whose texts are compared at once, about.
+_HITS = 100_000
+
+
+def _unpacked(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    return x >> _BITS, *(x >> k & 63 for k in (19, 13, 7, 1))
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range it is of, number) for every number of the ranges begin..end (exclusive)."""
+    size = np.maximum(end - begin, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size - begin, size)
+
+
+def _edges(new: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, new))
+
+
+def _probes(a: list[np.ndarray], b: list[np.ndarray], names: np.ndarray, row: np.ndarray, hit: np.ndarray, bc: np.ndarray, found: list, least: int):
+    """(row, key, hit) where a row's text a differs from its b around its hits: the start of each difference, and every STEP-th place of
+    b's. A key stands for b's text (its name), the place there and a's token; one probe for a place of a under a key. row, hit, bc: sorted by
+    row; found: (row, *passage).
+
+    All rows at once. A segment is what the windows of one diagonal of a row cover. Hits in one run of equal tokens, or in one verified passage, are one
+    anchor: the places left..right are done, and lo..hi are those of their windows.
+    """
+    size_a, size_b = (np.array([len(x) for x in own]) for own in (a, b))
+    base_a, base_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    a, b = np.concatenate(a), np.concatenate(b)
+    c, before, after, low, high = _unpacked(hit)
+    order = np.lexsort((c - bc, row))
+    row, c, bc, before, after, low, high = (x[order] for x in (row, c, bc, before, after, low, high))
+    d = c - bc
+    first = _edges((row[1:] != row[:-1]) | (d[1:] != d[:-1]))
+    seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+    lo, hi = c - before, np.minimum(c + after, size_a[row] - 1)
+    begin, end = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first) + 1
+    of, p = _spread(begin, end)
+    start = np.cumsum(end - begin) - (end - begin)
+    # from here on places are numbers in the segments laid end to end; shift takes a place of a there
+    shift = start - begin
+    q = p - d[first][of]
+    at_row = row[first][of]
+    there = (q >= 0) & (q < size_b[at_row])
+    token = a[base_a[at_row] + p]
+    differ = ~there
+    differ[there] = token[there] != b[(base_b[at_row] + q)[there]]
+    at = np.arange(len(p))
+    previous = np.maximum(np.maximum.accumulate(np.where(differ, at, -1)), start[of] - 1)
+    following = np.minimum(np.minimum.accumulate(np.where(differ, at, len(at))[::-1])[::-1], (start + end - begin)[of])
+    x = c + shift[seg]
+    left, right = np.minimum(x - low, previous[x] + 1), np.maximum(x + high, following[x] - 1)
+    rows = np.searchsorted(row, np.arange(len(size_a) + 1))
+    for n, s, e, y, z, _ in found:
+        own = slice(rows[n], rows[n + 1])
+        inside = (s <= c[own]) & (c[own] < e) & (y <= bc[own]) & (bc[own] < z)
+        left[own][inside] = np.minimum(left[own], s + shift[seg[own]])[inside]
+        right[own][inside] = np.maximum(right[own], e - 1 + shift[seg[own]])[inside]
+    order = np.lexsort((right, left, seg))
+    seg, left, right = seg[order], left[order], right[order]
+    once = _edges((seg[1:] != seg[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+    lo, hi = np.minimum.reduceat((lo[order] + shift[seg]), once), np.maximum.reduceat((hi[order] + shift[seg]), once)
+    seg, left, right = seg[once], left[once], right[once]
+
+    # a difference starts after an equal place (towards the right) or before one (towards the left), or where its range does
+    step = q % STEP == 0
+    where = []
+    for side, (low, high, inner) in enumerate(((np.maximum(right + 1, lo), hi + 1, right + 1), (lo, np.minimum(left, hi + 1), left - 1))):
+        anchor, x = _spread(low, high)
+        starts = ~differ[np.maximum(x - 1, 0)] if side == 0 else ~differ[np.minimum(x + 1, len(at) - 1)]
+        bound = x == start[of[x]] if side == 0 else x == (start + end - begin)[of[x]] - 1
+        keep = differ[x] & (starts | bound | (x == inner[anchor]) | step[x])
+        where.append((anchor[keep], x[keep]))
+    anchor, x = (np.concatenate(y) for y in zip(*where, strict=True))
+    before, after = np.minimum(x - lo[anchor], least), np.minimum(hi[anchor] - x, least)
+    low, high = np.minimum(np.maximum(x - left[anchor], 0), before), np.minimum(np.maximum(right[anchor] - x, 0), after)
+    of_row, place = at_row[x], p[x]
+    key = mix(mix(names[of_row].view(np.uint64) ^ mix(q[x].view(np.uint64))) ^ token[x]).view(np.int64)
+    order = np.lexsort((low + high, place, key, of_row))
+    of_row, key, place = of_row[order], key[order], place[order]
+    new = np.append(True, (of_row[1:] != of_row[:-1]) | (key[1:] != key[:-1]))[: len(key)]
+    once = new | np.append(True, place[1:] != place[:-1])[: len(key)]
+    return of_row[once], key[once], _packed(place, *(y[order] for y in (before, after, low, high)), new)[once]
+
+
+def _sets(column, names: np.ndarray) -> list[np.ndarray]:
+    """Tokens of each text; rows with one name have one text."""
+    _, first, of = np.unique(names, return_index=True, return_inverse=True)
+    own: list[np.ndarray] = []
+    for _, _, data, offsets in passes(column.take(pa.array(first))):
+        g, ends = Words(data, offsets).shingles(SHINGLE)
+        own += np.split(g, ends[:-1])
+    return [own[i] for i in of.reshape(-1).tolist()]
 
 
 def _verify(min_words: int, percent: int):
@@ -253,65 +340,75 @@ def _verify(min_words: int, percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = []
-            for c in ("text_a", "text_b"):
-                own = []
-                for _, _, data, offsets in passes(batch.column(c)):
-                    g, ends = Words(data, offsets).shingles(SHINGLE)
-                    own += np.split(g, ends[:-1])
-                tokens.append(own)
+            names = [batch.column(c).to_numpy() for c in ("a", "b")]
+            tokens = [_sets(batch.column(f"text_{c}"), own) for c, own in zip("ab", names, strict=True)]
             rows: list[tuple] = []
             left: list[tuple] = []
-            lists = [batch.column(c) for c in _HIT]
-            at = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy()))
-            hits = np.stack([x.flatten().to_numpy().astype(np.int64) for x in lists], 1)
-            names = [batch.column(c).to_numpy() for c in ("a", "b")]
-            for n, (a, b) in enumerate(zip(*tokens, strict=True)):
-                own = hits[at[n] : at[n + 1]]
-                # windows of the centre's own document have no passage with it, but probes
-                found = [] if names[0][n] == names[1][n] else list(_align(a, b, np.unique(own[:, 0] - own[:, 1]).tolist(), least, percent))
-                rows += [(n, *x) for x in found]
-                for key, k, o in _probes(a, b, int(names[1][n]), own, found, least):
-                    c, _, before, after, low, high = own[k].T
-                    left.append((np.full(len(k), n), key, c, before, after, np.minimum(low, o), np.maximum(high, o)))
+            at = np.append(0, np.cumsum(batch.column("hit").value_lengths().to_numpy()))
+            hits = [batch.column(c).flatten().to_numpy() for c in ("hit", "bc")]
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + _HITS, side="right")) - 1)
+                row = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                hit, bc = (x[at[i] : at[j]] for x in hits)
+                order = np.lexsort((bc, hit, row))
+                row, hit, bc = row[order], hit[order], bc[order]
+                once = _edges((row[1:] != row[:-1]) | (hit[1:] != hit[:-1]) | (bc[1:] != bc[:-1]))
+                row, hit, bc = row[once], hit[once], bc[once]
+                cuts = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+                diagonal, found = (hit >> _BITS) - bc, []
+                for n in range(j - i):
+                    # windows of the centre's own document have no passage with it, but probes
+                    if names[0][i + n] != names[1][i + n]:
+                        near = sorted(set(diagonal[cuts[n] : cuts[n + 1]].tolist()))
+                        found += [(n, *x) for x in _align(tokens[0][i + n], tokens[1][i + n], near, least, percent)]
+                rows += [(i + x[0], *x[1:]) for x in found]
+                of, key, probes = _probes(tokens[0][i:j], tokens[1][i:j], names[1][i:j], row, hit, bc, found, least)
+                left.append((of + i, key, probes))
+                i = j
             of = pa.array([r[0] for r in rows], pa.int64())
             words = [pa.array([int(r[1 + k]) + (SHINGLE - 1 if k % 2 else 0) for r in rows], pa.int64()) for k in range(4)]
             passages = [batch.column("a").take(of), batch.column("b").take(of), *words, pa.array([r[5] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*passages, *(pa.nulls(len(rows), t) for t in _PROBE.values())], [*_PASSAGE, *_PROBE])
-            if left:
-                n, *probes = (np.concatenate(x) for x in zip(*left, strict=True))
-                probes = [pa.array(x).cast(t) for x, t in zip(probes, _PROBE.values(), strict=True)]
+            n, key, probes = (np.concatenate(x) for x in zip(*left, strict=True))
+            if len(n):
                 a = batch.column("a").take(pa.array(n))
-                yield pa.RecordBatch.from_arrays([a, *(pa.nulls(len(n), t) for t in list(_PASSAGE.values())[1:]), *probes], [*_PASSAGE, *_PROBE])
+                yield pa.RecordBatch.from_arrays([a, *(pa.nulls(len(n), t) for t in list(_PASSAGE.values())[1:]), pa.array(key), pa.array(probes)], [*_PASSAGE, *_PROBE])
 
     return run
 
 
 _PASSAGE = {c: pa.int64() for c in ("a", "b", "first", "last", "other_first", "other_last")} | {"similarity": pa.float64()}
-_PROBE = {"key": pa.int64(), "c": pa.int32()} | {c: pa.int16() for c in ("before", "after", "low", "high")}
-_FOUND = "a long, b long, first long, last long, other_first long, other_last long, similarity double, key long, c int, before smallint, after smallint, low smallint, high smallint"
+_PROBE = {"key": pa.int64(), "hit": pa.int64()}
+_FOUND = "a long, b long, first long, last long, other_first long, other_last long, similarity double, key long, hit long"
 
 
 def _hits(sided: DataFrame) -> DataFrame:
-    """(a, b, arrays of _HIT) for windows (v, key, c, before, after, low, high): of those with one key each with the centre, once for
-    each two windows; other windows of the centre's document too, which only leave probes. Groups within one document have none."""
-    centre = sided.groupBy("key").agg(F.min(F.struct("v", "c")).alias("o"), F.max("v").alias("most")).where("o.v < most")
-    hits = sided.join(centre.select("key", F.col("o.v").alias("b"), F.col("o.c").alias("bc")), "key").where("v != b OR c != bc")
-    span = F.struct((F.col("high") - F.col("low")).alias("span"), "low", "high", "before", "after")
-    once = hits.groupBy(F.col("v").alias("a"), "b", "c", "bc").agg(F.min(span).alias("s"))
-    listed = once.groupBy("a", "b").agg(F.collect_list(F.struct("c", "bc", "s.before", "s.after", "s.low", "s.high")).alias("hits"))
-    return listed.select("a", "b", *[F.col(f"hits.{c}").alias(c) for c in _HIT])
+    """(a, b, arrays hit and bc), staged, for windows (v, key, hit): of those with one key each with the centre. Other windows of the
+    centre's document too, which only leave probes. Groups within one document have none."""
+    first = F.when(F.col("hit") % 2 == 1, F.col("v")).otherwise(F.lit((1 << 63) - 1))
+    centre = sided.groupBy("key").agg(F.min("v").alias("b"), F.max("v").alias("most"), F.min_by("hit", first).alias("bc")).where("b < most")
+    # written first, so that both sides of the join are plain exchanges and a hot key's rows can be split
+    centre = stage(centre.select("key", "b", F.shiftright("bc", _BITS).alias("bc")), "centres")
+    hits = sided.join(centre, "key").where((F.col("v") != F.col("b")) | (F.shiftright("hit", _BITS) != F.col("bc")))
+    listed = hits.groupBy(F.col("v").alias("a"), "b").agg(F.collect_list(F.struct("hit", "bc")).alias("hits"))
+    out = stage(listed.select("a", "b", "hits.hit", "hits.bc"), "pairs")
+    drop(centre)
+    return out
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, min_words: int, percent: int) -> DataFrame:
     """Passages and probes of ``_hits``."""
-    used = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    own = stage(texts.join(used, "v").select("v", "text"), "texts")
-    full = pairs.join(own.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(own.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+    full = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
+    full = full.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
     return stage(full.mapInArrow(_verify(min_words, percent), _FOUND), "passages")
 
 
+def _used(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    used = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    return stage(texts.join(used, "v").dropDuplicates(["v"]), "texts")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(v, doc_id, text): v names a text of a doc_id; rows that are equal in both are one document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -328,31 +425,37 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     no documents: no rows. Other columns are ignored.
     """
     least = min_words - SHINGLE + 1
-    if least < 2:
-        raise ValueError(f"min_words must be over {SHINGLE}")
+    if not 2 <= least < 64:
+        raise ValueError(f"min_words must be {SHINGLE + 1} to {SHINGLE + 62}")
     texts = _texts(docs)
-    schema = "v long, key array<long>, c array<int>, " + ", ".join(f"{c} array<smallint>" for c in _LISTS[2:])
-    made = stage(texts.select("v", "text").mapInArrow(_windows(least), schema).where(F.size("key") > 0), "windows")
+    made = stage(texts.select("v", "text").mapInArrow(_windows(least), "v long, key array<long>, window array<long>, contexts array<long>").where(F.size("key") > 0), "windows")
     flat = made.select("v", F.inline(F.arrays_zip(*_LISTS)))
-    several = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = stage(flat.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most").select("key"), "keys")
     met = stage(flat.join(several, "key"), "met")
+    drop(made, several)
 
     # each window under its key with what is before, and with what is after: a passage of 50 words or more holds
     # at least one of the two, wherever its token is
-    contexts = F.array(F.xxhash64(F.lit(1), "key", "left"), F.xxhash64(F.lit(2), "key", "right"))
-    none = F.lit(0).cast("smallint")
-    sided = met.select("v", "c", "before", "after", none.alias("low"), none.alias("high"), F.explode(contexts).alias("key"))
-    pairs = stage(_hits(sided), "pairs")
-    used = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    texts = stage(texts.join(used, "v").dropDuplicates(["v"]), "texts")
-    found = None
+    window = F.shiftleft(F.shiftright("window", 2), 13)
+    left = F.struct(F.xxhash64(F.lit(1), "key", F.shiftright("contexts", 32)).alias("key"), window.bitwiseOR(F.shiftright("window", 1).bitwiseAND(F.lit(1))).alias("hit"))
+    right = F.struct(F.xxhash64(F.lit(2), "key", F.col("contexts").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), window.bitwiseOR(F.col("window").bitwiseAND(F.lit(1))).alias("hit"))
+    pairs = _hits(met.select("v", F.inline(F.array(left, right))))
+    drop(met)
+    texts = of = _used(texts, pairs)
+    found, rounds = None, []
     while found is None or not pairs.isEmpty():
-        made = _compared(pairs, texts, min_words, percent)
+        made = _compared(pairs, of, min_words, percent)
+        drop(pairs)
+        if of is not texts:
+            drop(of)
+        rounds.append(made)
         own = made.where("key IS NULL").select(*_PASSAGE)
         found = own if found is None else found.unionByName(own)
-        pairs = stage(_hits(made.where("key IS NOT NULL").select(F.col("a").alias("v"), *_PROBE)), "pairs")
+        pairs = _hits(made.where("key IS NOT NULL").select(F.col("a").alias("v"), *_PROBE))
+        of = _used(texts.select("v", "text"), pairs)
     # passages that several rounds met
     found = stage(found.distinct(), "passages")
+    drop(*rounds)
     ids = texts.select("v", "doc_id")
     out = found.join(ids.select(F.col("v").alias("a"), "doc_id"), "a").join(ids.select(F.col("v").alias("b"), F.col("doc_id").alias("other_doc_id")), "b")
     # two texts under one doc_id are one document
