@@ -21,10 +21,14 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataF
     return texts.join(F.broadcast(y), "doc_id")
 
 
+def one_each(featured: DataFrame) -> DataFrame:
+    """(doc_id, y, features) with one row per doc_id; of repeated rows the one with the smallest text hash."""
+    return featured.groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("features", "text_key").alias("features"))
+
+
 def examples(featured: DataFrame) -> list:
-    """Collect (y, features) with one row per doc_id; of repeated rows the one with the smallest text hash."""
-    one = featured.groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("features", "text_key").alias("features"))
-    return one.orderBy(F.xxhash64(F.lit(1), "doc_id")).select("y", "features").collect()
+    """Collect (y, features) of ``one_each``: for small features."""
+    return one_each(featured).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").select("y", "features").collect()
 
 
-__all__ = ["examples", "sample", "text_key"]
+__all__ = ["examples", "one_each", "sample", "text_key"]
