@@ -7,13 +7,13 @@ does not depend on the process, the batch or the word's place.
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text taken in one numpy pass; a longer text makes a pass of its own.
 PASS_BYTES = 1 << 19
+#: Bytes of a long text that are hashed at once.
+SEGMENT = 1 << 21
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -23,12 +23,13 @@ _VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uin
 def byte_map(kind: str) -> np.ndarray:
     """For each byte what it becomes: A-Z lower case, separators 32.
 
-    ``blank``: words are runs of anything but 0x20, 0x09-0x0D. ``alnum``: runs of digits, letters
+    ``blank``: words are runs of anything but 0x20, 0x09-0x0D. ``exact``: the same, A-Z stay. ``alnum``: runs of digits, letters
     and bytes of non-ASCII characters.
     """
     out = np.arange(256, dtype=np.uint8)
-    out[65:91] += 32
-    if kind == "blank":
+    if kind != "exact":
+        out[65:91] += 32
+    if kind in ("blank", "exact"):
         out[9:14] = 32
     elif kind == "alnum":
         keep = np.zeros(256, bool)
@@ -39,7 +40,7 @@ def byte_map(kind: str) -> np.ndarray:
     return out
 
 
-MAPS = {k: byte_map(k) for k in ("blank", "alnum")}
+MAPS = {k: byte_map(k) for k in ("blank", "exact", "alnum")}
 _LUT = {k: _VALUES[m] for k, m in MAPS.items()}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -62,6 +63,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
+    """The hash of each data[begin:end]."""
+    up, down = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LUT[kind][data] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin])
+
+
 class Words:
     """The words of the texts of one pass.
 
@@ -69,27 +78,46 @@ class Words:
     ``data``. A null text has no words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "blank"):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "blank", hashed: bool = True):
+        self.hashed = hashed
         base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         self.data = data[base : base + n]
-        sep = MAPS[kind][self.data] == 32
-        word = ~sep
         edges = offsets - base
+        parts = [self._part(i, j, edges, kind) for i, j in self._cuts(edges, kind)]
+        self.begin, self.end, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.ends = np.searchsorted(self.begin, edges[1:], side="left")
+
+    def _cuts(self, edges: np.ndarray, kind: str):
+        """Parts of about SEGMENT bytes, none of which cuts a word: what a part takes while it is hashed is a multiple of its bytes."""
+        i, n = 0, len(self.data)
+        while n - i > SEGMENT:
+            j = i + SEGMENT
+            while True:  # the next place after which no word goes on
+                near = np.flatnonzero(MAPS[kind][self.data[j - 1 : j + 4095]] == 32)
+                edge = edges[np.searchsorted(edges, j) :][:1]
+                ahead = min([*(near[:1] + j).tolist(), *edge.tolist(), n])
+                if len(near) or ahead <= j + 4096:
+                    break
+                j += 4096
+            yield i, ahead
+            i = ahead
+        yield i, n
+
+    def _part(self, i: int, j: int, edges: np.ndarray, kind: str):
+        data, n = self.data[i:j], j - i
+        own = edges[(edges >= i) & (edges <= j)] - i
+        sep = MAPS[kind][data] == 32
+        word = ~sep
         first = np.ones(n, bool)
         first[1:] = sep[:-1]
-        first[edges[edges < n]] = True
+        first[own[own < n]] = True
         first &= word
         last = np.ones(n, bool)
         last[:-1] = sep[1:]
-        inner = edges[(edges > 0) & (edges <= n)] - 1
-        last[inner] = True
+        last[own[own > 0] - 1] = True
         last &= word
-        self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.ends = np.searchsorted(self.begin, edges[1:], side="left")
-        up, down = _power(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LUT[kind][self.data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.begin]) * down[self.begin])
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return begin + i, end + i, span_hashes(data, begin, end, kind) if self.hashed else np.zeros(0, np.uint64)
 
     @property
     def counts(self) -> np.ndarray:
@@ -127,9 +155,6 @@ def passes(column: pa.Array, limit: int = PASS_BYTES):
         column = column.combine_chunks()
     if not len(column):
         return
-    # a worker that encoded tokens before and now works on words has no use for its table of chunks
-    if encoders := sys.modules.get(f"{__package__}.tokens"):
-        encoders.release()
     wide = pa.types.is_large_string(column.type)
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)

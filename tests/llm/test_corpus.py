@@ -51,6 +51,29 @@ def test_chunked_ids_equal_the_library(monkeypatch):
             assert np.array_equal(g, e), t
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(tokens, "SEGMENT", 500)
+    texts = [prose(rng, 900), "x" * 2000, prose(rng, 300) + " <|endoftext|> " + prose(rng, 300), None, "\n" * 1500, prose(rng, 5)]
+    import pyarrow as pa
+
+    got = dict(tokens.encoded(pa.array(texts), tokens.default_path()))
+    assert all(np.array_equal(got[i], e) for i, e in enumerate(plain_ids(texts)))
+
+
+def test_unequal_chunks_of_one_hash_go_to_the_library(monkeypatch):
+    class Same(tokens.Parts):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.hash = self.hash & np.uint64(7)
+
+    monkeypatch.setattr(tokens, "Parts", Same)
+    rng = random.Random(3)
+    own, texts = tokens.Encoder(tokens.default_path()), [prose(rng, 30) for _ in range(20)]
+    for g, e in zip(own.encode([t.encode() for t in texts]), plain_ids(texts), strict=True):
+        assert np.array_equal(np.frombuffer(g, own.dtype), e)
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
 
@@ -368,7 +391,7 @@ def test_rules_as_columns_equal_rules(spark):
 
 
 def test_ftrl_is_sparse():
-    m = toxicity.Ftrl(8, alpha=1.0, l1=2.0, l2=0.0)
+    m = toxicity.Ftrl(np.full(8, 2.0), alpha=1.0, toxic=1.0)
     for i in range(200):
         m.learn(np.array([0, 2 + i % 6]), 1)
         m.learn(np.array([1, 2 + i % 6]), 0)

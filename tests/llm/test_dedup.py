@@ -67,6 +67,18 @@ def test_words_equal_regex():
     assert len(set(by.values())) == len(by)
 
 
+def test_words_of_long_texts_in_parts(monkeypatch):
+    rng = random.Random(9)
+    texts = [*ODD, prose(rng, 400), "y" * 9000, "", prose(rng, 2), " " * 700 + "end", None]
+    for kind in ("blank", "alnum", "exact"):
+        whole = _words.words_of(texts, kind)
+        for size in (1, 37, 500):
+            monkeypatch.setattr(_words, "SEGMENT", size)
+            part = _words.words_of(texts, kind)
+            assert all(np.array_equal(getattr(part, x), getattr(whole, x)) for x in ("begin", "end", "hash", "ends"))
+            monkeypatch.undo()
+
+
 def test_rolling_stays_within_texts():
     w = _words.words_of(["a b c d", "", "a b", "b c d"])
     h, ends = w.shingles(3)
