@@ -83,14 +83,13 @@ def _sketch(a, parser) -> None:
 
 def _pairwise(a, parser) -> None:
     spark = api._spark()
-    regs = hll.read_sketches(spark, a.sketches_dir).persist()
-    kinds = regs.select("path", "precision_p", "k", "canonical").distinct().collect()
-    if len(kinds) < 2:
+    own = hll.read_packed(spark, a.sketches_dir)
+    kinds = own.groupBy("precision_p", "k", "canonical").count().collect()
+    if sum(r["count"] for r in kinds) < 2:
         raise ValueError("fewer than two sketches")
-    if len({tuple(r)[1:] for r in kinds}) > 1:
+    if len(kinds) > 1:
         raise ValueError("sketches differ in precision, k or canonical")
-    p = kinds[0].precision_p
-    pairs = pairwise.jaccard(regs.select("path", "idx", "rho"), "path", p, a.threshold).orderBy("i", "j")
+    pairs = pairwise.jaccard_packed(own.select("path", "regs"), "path", kinds[0].precision_p, a.threshold).orderBy("i", "j")
     if a.output:
         hll.write_tsv(pairs.withColumn("jaccard", F.round("jaccard", 6)), a.output)
         return

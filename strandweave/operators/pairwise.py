@@ -19,16 +19,15 @@ BLOCK = 64
 
 def packed(regs: DataFrame, item: str, p: int = DEFAULT_P) -> DataFrame:
     """(item, regs BINARY) of (item, idx, rho): one byte a register, 255 at most."""
-    pairs = F.sort_array(F.collect_list(F.struct("idx", F.least("rho", F.lit(255)).alias("rho"))))
+    pairs = F.collect_list(F.struct("idx", F.least("rho", F.lit(255)).alias("rho")))
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.column("_r").to_pylist():
-                x = np.zeros(1 << p, np.uint8)
-                x[[v["idx"] for v in r]] = [v["rho"] for v in r]
-                out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(item), pa.array(out, pa.binary())], [item, "regs"])
+            x = np.zeros((b.num_rows, 1 << p), np.uint8)
+            lists = b.column("_r")
+            flat = lists.flatten()
+            x[np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), flat.field("idx").to_numpy()] = flat.field("rho").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(item), pa.array([r.tobytes() for r in x], pa.binary())], [item, "regs"])
 
     return regs.groupBy(item).agg(pairs.alias("_r")).mapInArrow(run, f"`{item}` {regs.schema[item].dataType.simpleString()}, regs binary")
 
@@ -42,11 +41,18 @@ def classic(x: np.ndarray, p: int) -> np.ndarray:
     return np.where((e <= 2.5 * m) & (v > 0), m * np.log(m / np.maximum(v, 1)), e)
 
 
-def jaccard(regs: DataFrame, item: str, p: int = DEFAULT_P, threshold: float | None = None) -> DataFrame:
-    """(i, j, jaccard) for i < j in the order of ``item``: (|A| + |B| - |A or B|) / |A or B|, not clamped. Two empty sketches
-    have no Jaccard and give no row under a threshold. The threshold only filters what is given."""
+def jaccard(regs: DataFrame, item: str, p: int = DEFAULT_P, threshold: float | None = None, items: DataFrame | None = None) -> DataFrame:
+    """``jaccard_packed`` of (item, idx, rho). A sketch without any register has no row there: ``items`` (item), if given, names all."""
     own = packed(regs, item, p)
-    kind = regs.schema[item].dataType.simpleString()
+    if items is not None:
+        own = items.select(item).distinct().join(own, item, "left").withColumn("regs", F.coalesce("regs", F.lit(bytes(1 << p))))
+    return jaccard_packed(own, item, p, threshold)
+
+
+def jaccard_packed(own: DataFrame, item: str, p: int = DEFAULT_P, threshold: float | None = None) -> DataFrame:
+    """(i, j, jaccard) of (item, regs) for i < j in the order of ``item``: (|A| + |B| - |A or B|) / |A or B|, not clamped. An empty sketch
+    has 0 with others; two empty ones have no Jaccard (NaN) and give no row under a threshold. The threshold only filters what is given."""
+    kind = own.schema[item].dataType.simpleString()
     n = max(1, -(-own.count() // BLOCK))
     block = F.pmod(F.xxhash64(item), F.lit(n)).cast("int")
     dealt = own.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -57,19 +63,20 @@ def jaccard(regs: DataFrame, item: str, p: int = DEFAULT_P, threshold: float | N
         b, ids = t.column("_b").to_numpy(), t.column(item).to_pylist()
         m = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(len(ids), -1)
         e = classic(m, p)
-        rows: list[list] = [[], [], []]
+        order = np.argsort(np.array(ids), kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        found = []
         left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
         for a in left.tolist():
             others = right[right > a] if x == y else right
             u = classic(np.maximum(m[others], m[a]), p)
             with np.errstate(divide="ignore", invalid="ignore"):
                 js = (e[a] + e[others] - u) / u
-            for c, j in zip(others.tolist(), js.tolist(), strict=True):
-                i, k = sorted((ids[a], ids[c]))
-                for to, v in zip(rows, (i, k, j), strict=True):
-                    to.append(v)
-        kinds = t.schema.field(item).type
-        return pa.table({"i": pa.array(rows[0], kinds), "j": pa.array(rows[1], kinds), "jaccard": pa.array(rows[2], pa.float64())})
+            first = rank[a] < rank[others]
+            found.append((np.where(first, a, others), np.where(first, others, a), js))
+        i, j, js = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"i": t.column(item).take(pa.array(i)), "j": t.column(item).take(pa.array(j)), "jaccard": pa.array(js)})
 
     out = dealt.groupBy("_x", "_y").applyInArrow(run, f"i {kind}, j {kind}, jaccard double")
     return out if threshold is None else out.where(~F.isnan("jaccard") & (F.col("jaccard") >= threshold))

@@ -310,6 +310,14 @@ def pairwise_jaccard_threshold(spark, d):
     return pairwise.jaccard(_event_registers(spark, d), "event_type", P, 0.5).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(f"{_REGS}, sums AS ({_SUMS.format(by='event_type', of='regs')}), {_PAIR}\nSELECT i, j, round((a.e + b.e - u) / u, 6) AS jaccard FROM pair JOIN e a ON a.event_type = i JOIN e b ON b.event_type = j UNION ALL SELECT least('empty', event_type), greatest('empty', event_type), 0.0 FROM e")
+def pairwise_jaccard_empty(spark, d):
+    """A sketch without any register is a sketch."""
+    regs = _event_registers(spark, d)
+    items = regs.select("event_type").distinct().unionByName(spark.range(1).select(F.lit("empty").alias("event_type")))
+    return pairwise.jaccard(regs, "event_type", P, 0.0, items).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query(f"{_REGS}, sums AS ({_SUMS.format(by='event_type', of='regs')}), {_PAIR}\nSELECT round(greatest(0, a.e + b.e - u), 4) AS estimate FROM pair JOIN e a ON a.event_type = i JOIN e b ON b.event_type = j WHERE i = 'click' AND j = 'view'")
 def hll_intersect_2way(spark, d):
     return sketch.intersect_many(_event_registers(spark, d), "event_type", ["click", "view"], P).select(F.round("estimate", 4).alias("estimate"))

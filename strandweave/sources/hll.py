@@ -8,6 +8,7 @@ compare with ours: ours index by the top bits of xxHash64.
 from __future__ import annotations
 
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,20 +125,40 @@ def read_sketches(spark: SparkSession, folder: str, magic: bytes | None = None)
     return files.mapInArrow(run, "path string, precision_p int, k int, canonical boolean, idx int, rho int")
 
 
+def read_packed(spark: SparkSession, folder: str, magic: bytes | None = None) -> DataFrame:
+    """(path, precision_p, k, canonical, regs BINARY) of all *.hll files of a folder, empty sketches too: one byte a register, 255 at most."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hll").load(folder).select("path", "content")
+
+    def run(batches):
+        for b in batches:
+            got = [decode(data, magic) for data in b.column("content").to_pylist()]
+            kinds = {"precision_p": pa.int32(), "k": pa.int32(), "canonical": pa.bool_()}
+            heads = [pa.array([getattr(h, c) for h, _ in got], t) for c, t in kinds.items()]
+            regs = pa.array([np.minimum(r, 255).astype(np.uint8).tobytes() for _, r in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("path"), *heads, regs], ["path", *kinds, "regs"])
+
+    return files.mapInArrow(run, "path string, precision_p int, k int, canonical boolean, regs binary")
+
+
 def write_sketches(regs: DataFrame, folder: str, name: str, k: int, canonical: bool, p: int = DEFAULT_P, magic: bytes = MAGIC) -> DataFrame:
     """Write ``<folder>/<name>.hll`` for every value of column ``name``, on the executors; (name, output) of what was written."""
     rows = regs.groupBy(name).agg(F.collect_list(F.struct("idx", "rho")).alias("r"))
 
     def run(batches):
         for b in batches:
-            out = []
-            for n, r in zip(b.column(name).to_pylist(), b.column("r").to_pylist(), strict=True):
+            out, lists = [], b.column("r")
+            flat = lists.flatten()
+            idx, rho = flat.field("idx").to_numpy(), flat.field("rho").to_numpy()
+            at = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            for i, n in enumerate(b.column(name).to_pylist()):
                 x = np.zeros(1 << p, np.uint32)
-                for v in r:
-                    x[v["idx"]] = v["rho"]
+                x[idx[at[i] : at[i + 1]]] = rho[at[i] : at[i + 1]]
+                # aside first: a task that is lost or runs twice leaves no torn file
                 filesystem, local = _open(f"{folder}/{n}.hll")
-                with filesystem.open_output_stream(local) as f:
+                own = f"{local}.{uuid.uuid4().hex}"
+                with filesystem.open_output_stream(own) as f:
                     f.write(encode(x, k, canonical, magic))
+                filesystem.move(own, local)
                 out.append(f"{folder}/{n}.hll")
             yield pa.RecordBatch.from_arrays([b.column(name), pa.array(out, pa.string())], [name, "output"])
 

@@ -270,8 +270,8 @@ def survey(files: DataFrame, path: str = "path", size: str = "size") -> DataFram
         grown = F.when(F.lower(path).endswith(suffix), F.col(size).cast("bigint") * by).otherwise(grown)
     own = files.select(grown.alias("s"))
     n = own.count()
-    # the upper median by rank: the (n div 2 + 1)-th smallest, found without one global sort
-    median = own.agg(F.expr(f"percentile_disc({min(1.0, (n // 2 + 1) / max(n, 1))}) within group (order by s)").cast("bigint").alias("median"))
+    # the upper median by rank: the (n div 2 + 1)-th smallest, found without one global sort; half a rank less keeps rounding from the next one
+    median = own.agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / max(n, 1)}D) within group (order by s)").cast("bigint").alias("median"))
     return own.agg(F.count("*").alias("n"), F.max("s").alias("largest"), F.coalesce(F.sum("s"), F.lit(0)).alias("total")).crossJoin(median).select("n", "median", "largest", "total")
 
 

@@ -207,6 +207,22 @@ def test_front_door(spark, tmp_path, records, capsys):
     assert cli.main(["sketch", "--k", "21", str(tmp_path / "none.fa")]) == 1
 
 
+def test_empty_sketches_are_sketches(spark, tmp_path, capsys):
+    full = sketch.registers(spark.range(3000).select(F.lit(1).alias("g"), F.col("id").alias("key")), "key", ["g"], 14).drop("g")
+    for name, regs in (("a", full), ("b", full.limit(0)), ("c", full.limit(0)), ("d", full)):
+        hll.write_sketch(sketch.Sketch(regs, 14, k=21), str(tmp_path / f"{name}.hll"))
+    assert cli.main(["pairwise", "--sketches-dir", str(tmp_path), "--threshold", "0"]) == 0
+    lines = [x.split("\t") for x in capsys.readouterr().out.strip().split("\n")]
+    got = {(i.rsplit("/", 1)[1][0], j.rsplit("/", 1)[1][0]): float(x) for i, j, x in lines}
+    assert got == {("a", "b"): 0, ("a", "c"): 0, ("a", "d"): 1, ("b", "d"): 0, ("c", "d"): 0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 14, 29, 30, 57, 113, 200])
+def test_survey_median_is_the_upper_one(spark, n):
+    files = spark.range(n).selectExpr("concat('f', id, '.fa') AS path", "id * 7 % 1009 AS size")
+    assert sequences.survey(files).first().median == sorted(i * 7 % 1009 for i in range(n))[n // 2]
+
+
 def test_sample_of_sequences(spark, tmp_path, records, capsys):
     """A sample kept small in every task equals the sample of all counts."""
     from strandweave.functions import dna
