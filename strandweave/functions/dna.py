@@ -146,6 +146,24 @@ def packed_windows(codes: np.ndarray, k: int, is_canonical: bool = True) -> tupl
     return starts, keys
 
 
+#: Bases that a numpy pass takes at once: about 100 bytes each.
+PASS_BASES = 1 << 19
+
+
+def passes(codes: np.ndarray, k: int):
+    """(first place, codes) of parts with k - 1 places of overlap: every window starts in exactly one."""
+    for i in range(0, max(len(codes) - k + 1, 1), PASS_BASES):
+        yield i, codes[i : i + PASS_BASES + k - 1]
+
+
+def reverse_complement_key(key: str | Column, k: int) -> Column:
+    """The two-bit key of the reverse complement of a two-bit key, k at most 31."""
+    x = F.bitwise_not(_col(key))
+    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
 def unpacked(key: str | Column, k: int) -> Column:
     """The k-mer of a two-bit key, k at most 31."""
     return F.translate(F.lpad(F.conv(_col(key).cast("string"), 10, 4), k, "0"), "0123", "ACGT")

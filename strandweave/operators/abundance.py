@@ -33,25 +33,45 @@ def counts(occurrences: DataFrame, key: str, cap: int | None = None) -> DataFram
     return occurrences.groupBy(key).agg((n if cap is None else F.least(n, F.lit(cap))).alias("n"))
 
 
+#: Distinct keys that a task holds at once.
+KEYS = 1 << 20
+
+
+def _summed(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (owner, key) added up, in that order."""
+    order = np.lexsort((keys, owner)) if groups > 1 else np.argsort(keys, kind="stable")
+    owner, keys, n = owner[order], keys[order], n[order]
+    if not len(keys):
+        return owner, keys, n
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))
+    return owner[first], keys[first], np.add.reduceat(n, first)
+
+
 def kmer_counts(seqs: DataFrame, k: int, by: list[str] = (), is_canonical: bool = True, seq: str = "seq") -> DataFrame:
     """(*by, key, n): two-bit keys of all k-mers (k at most 32) with their counts.
 
-    Each Arrow batch is packed and counted in numpy, so rows are distinct keys of a batch, not occurrences, and 8 bytes wide.
+    Each task packs and counts in numpy passes of bounded size, so rows are distinct keys of up to ``KEYS`` counted together, not
+    occurrences, and 8 bytes wide.
     """
     by = list(by)
 
+    def batch(owner, keys, n, groups):
+        own = [groups.column(c).combine_chunks().take(pa.array(owner)) for c in by]
+        return pa.RecordBatch.from_arrays([*own, pa.array(keys.view(np.int64)), pa.array(n)], [*by, "key", "n"])
+
     def run(batches):
         for b in batches:
             codes, owner, groups = flat_codes(b, seq, by)
-            starts, keys = dna.packed_windows(codes, k, is_canonical)
-            owner = owner[starts]
-            order = np.argsort(keys, kind="stable")
-            order = order[np.argsort(owner[order], kind="stable")] if len(groups) > 1 else order
-            keys, owner = keys[order], owner[order]
-            first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(keys)))
-            own = [groups.column(c).combine_chunks().take(pa.array(owner[first])) for c in by]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], [*by, "key", "n"])
+            held: list[tuple] = []
+            for first, part in dna.passes(codes, k):
+                starts, keys = dna.packed_windows(part, k, is_canonical)
+                held.append(_summed(owner(starts + first), keys, np.ones(len(keys), np.int64), len(groups)))
+                if sum(len(x[0]) for x in held) > KEYS:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)), len(groups))]
+                    if len(held[0][0]) > KEYS // 2:
+                        yield batch(*held.pop(), groups)
+            if held:
+                yield batch(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True)), len(groups)), groups)
 
     fields = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in by)
     return seqs.select(*by, seq).mapInArrow(run, f"{fields}key long, n long").groupBy(*by, "key").agg(F.sum("n").alias("n"))
@@ -98,14 +118,17 @@ def kmer_sample(seqs: DataFrame, k: int, size: int, cap: int | None = None, is_c
         f, key, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             data = [s.as_buffer().to_pybytes() for s in b.column(0) if s.is_valid]
-            _, h = dna.rolling_hashes(dna.CODES[np.frombuffer(b"N".join(data), np.uint8)], k, is_canonical)
-            own, count = np.unique(h, return_counts=True)
-            key, at = np.unique(np.concatenate((key, own)), return_inverse=True)
-            n = np.bincount(at, np.concatenate((n, count)), len(key)).astype(np.int64)
-            f = dna.finalize(key)
-            if len(key) > size:
-                least = np.argpartition(f, size - 1)[:size]
-                f, key, n = f[least], key[least], n[least]
+            for _, part in dna.passes(dna.CODES[np.frombuffer(b"N".join(data), np.uint8)], k):
+                _, h = dna.rolling_hashes(part, k, is_canonical)
+                if len(key) == size:  # the largest kept finalizer only falls
+                    h = h[dna.finalize(h) <= f.max()]
+                own, count = np.unique(h, return_counts=True)
+                key, at = np.unique(np.concatenate((key, own)), return_inverse=True)
+                n = np.bincount(at, np.concatenate((n, count)), len(key)).astype(np.int64)
+                f = dna.finalize(key)
+                if len(key) > size:
+                    least = np.argpartition(f, size - 1)[:size]
+                    f, key, n = f[least], key[least], n[least]
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     parts = seqs.select(seq).mapInArrow(run, "key long, n long")

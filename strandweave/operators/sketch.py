@@ -62,18 +62,18 @@ def builtin_estimate(key: str | Column, p: int = DEFAULT_P) -> Column:
 
 
 def kmer_registers(seqs: DataFrame, k: int, by: list[str] = (), p: int = DEFAULT_P, is_canonical: bool = True, seq: str = "seq") -> DataFrame:
-    """(*by, idx, rho) of all k-mers of the sequences: each Arrow batch is hashed in one numpy pass and leaves one row per
+    """(*by, idx, rho) of all k-mers of the sequences: each Arrow batch is hashed in numpy passes of bounded size and leaves one row per
     group and register it has touched, so k-mers never become rows."""
     by = list(by)
 
     def run(batches):
         for b in batches:
             codes, owner, groups = flat_codes(b, seq, by)
-            starts, h = dna.rolling_hashes(codes, k, is_canonical)
-            h = dna.finalize(h)
-            cell = owner[starts] << p | (h >> np.uint64(64 - p)).astype(np.int64)
             top = np.zeros(len(groups) << p, np.int8)
-            np.maximum.at(top, cell, _ranks(h, p))
+            for first, part in dna.passes(codes, k):
+                starts, h = dna.rolling_hashes(part, k, is_canonical)
+                h = dna.finalize(h)
+                np.maximum.at(top, owner(starts + first) << p | (h >> np.uint64(64 - p)).astype(np.int64), _ranks(h, p))
             at = np.flatnonzero(top)
             keys = [groups.column(c).combine_chunks().take(pa.array(at >> p)) for c in by]
             yield pa.RecordBatch.from_arrays([*keys, pa.array((at & (1 << p) - 1).astype(np.int32)), pa.array(top[at].astype(np.int32))], [*by, "idx", "rho"])
@@ -91,7 +91,7 @@ def _ranks(h: np.ndarray, p: int) -> np.ndarray:
 
 
 def flat_codes(b: pa.RecordBatch, seq: str, by: list[str]):
-    """(codes with a break after each sequence, group number of each code, distinct groups)."""
+    """(codes with a break after each sequence, group numbers of given places, distinct groups)."""
     data = [(s.as_buffer().to_pybytes() if s.is_valid else b"") for s in b.column(seq)]
     codes = dna.CODES[np.frombuffer(b"N".join(data) + b"N", np.uint8)]
     size = np.array([len(d) + 1 for d in data])
@@ -101,7 +101,8 @@ def flat_codes(b: pa.RecordBatch, seq: str, by: list[str]):
     number = np.zeros(b.num_rows, np.int64)
     for g, rows in enumerate(groups.column("_row_list").to_pylist()):
         number[rows] = g
-    return codes, np.repeat(number, size), groups
+    ends = np.cumsum(size)
+    return codes, lambda places: number[np.searchsorted(ends, places, side="right")], groups
 
 
 class Sketch:

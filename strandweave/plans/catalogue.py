@@ -78,7 +78,7 @@ def kmer_canonical(spark, d):
 def kmer_exact_distinct(spark, d):
     """Exact distinct counts: forward k-mers are aggregated first, so canonical ones are counted on distinct rows."""
     forward = abundance.kmer_counts(_dna(spark, d), 21, is_canonical=False)
-    own = forward.groupBy(dna.canonical(dna.unpacked("key", 21)).alias("c")).agg(F.sum("n").alias("occ"), F.count("*").alias("f"))
+    own = forward.groupBy(F.least("key", dna.reverse_complement_key("key", 21)).alias("c")).agg(F.sum("n").alias("occ"), F.count("*").alias("f"))
     return own.agg(F.coalesce(F.sum("occ"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("f"), F.lit(0)).alias("n_forward"), F.count("*").alias("n_canonical"))
 
 

@@ -149,3 +149,41 @@ def test_estimates_of_a_full_sample_are_exact(spark):
     got = {r.region: r for r in abundance.estimate_regions(abundance.bottom_k(counted, "key", 1000), 120, cfg).collect()}
     assert (got["abundance"].point, got["ge_x"].point, got["le_y"].point) == (40, 120, 80)
     assert all(r.lo <= r.point <= r.hi and r.upper >= r.point for r in got.values())
+
+
+def test_passes_change_nothing_and_bound_memory(spark, monkeypatch):
+    """The same registers, counts and sample whatever the size of a pass; a large batch takes a bounded multiple of its bytes."""
+    import tracemalloc
+
+    from strandweave.operators import abundance, sketch
+
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, "".join(rng.choice(list("ACGTN"), 700, p=[0.24, 0.24, 0.24, 0.24, 0.04]))) for i in range(40)] + [(1, None), (2, "ACG"), (0, "")]
+    df = spark.createDataFrame(rows, "g int, seq string").coalesce(2)
+
+    def all_of():
+        regs = sketch.kmer_registers(df, 21, ["g"], 10)
+        counts = abundance.kmer_counts(df, 5, ["g"])
+        return [sorted(map(tuple, x.collect())) for x in (regs, counts, abundance.kmer_sample(df, 21, 50))]
+
+    whole = all_of()
+    for size in (64, 1000):
+        monkeypatch.setattr(dna, "PASS_BASES", size)
+        codes = dna.CODES[np.frombuffer(("N".join(s or "" for _, s in rows)).encode(), np.uint8)]
+        parts = [dna.rolling_hashes(c, 21) for _, c in dna.passes(codes, 21)]
+        assert np.array_equal(np.concatenate([h for _, h in parts]), dna.rolling_hashes(codes, 21)[1])
+        firsts = [f for f, _ in dna.passes(codes, 21)]
+        assert np.array_equal(np.concatenate([s + f for (s, _), f in zip(parts, firsts, strict=True)]), dna.rolling_hashes(codes, 21)[0])
+    monkeypatch.undo()
+    assert whole == all_of()
+    codes = rng.integers(0, 4, 1 << 25, dtype=np.uint8)
+    tracemalloc.start()
+    for _, part in dna.passes(codes, 31):
+        dna.finalize(dna.rolling_hashes(part, 31)[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    keys = spark.createDataFrame([(int(k),) for k in dna.packed_windows(codes[:2000], 21, False)[1]], "key long")
+    got = [r[0] for r in keys.select(dna.reverse_complement_key("key", 21)).collect()]
+    comp = dna.packed_windows((3 - codes[:2000])[::-1].copy(), 21, False)[1][::-1]
+    assert got == comp.astype(np.int64).tolist()
