@@ -104,6 +104,14 @@ def write_raw(uri: str, parts) -> None:
         filesystem.move(own, path)
 
 
+def empty_dir(uri: str) -> bool:
+    """Whether nothing is at ``uri``."""
+    from pyarrow import fs
+
+    filesystem, path = raw_fs(uri)
+    return not filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+
+
 def read_raw(uri: str) -> bytes:
     filesystem, path = raw_fs(uri)
     with filesystem.open_input_file(path) as f:

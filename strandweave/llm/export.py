@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ._shared import new_dir, partitions, plan_bytes, read_raw, stage, write_raw
+from ._shared import empty_dir, new_dir, partitions, plan_bytes, read_raw, stage, write_raw
 from ._words import mix
 from .mph import Mph
 from .tokens import default_path, encoded
@@ -199,8 +199,11 @@ def export(docs: DataFrame, end_id: int = 2, path: str | None = None, uri: str |
 
     Null text counts as empty. Documents that share a doc_id, and those without, keep rows of their
     own, ordered by the text's hash; a null doc_id is in no index. No documents: no files.
+    uri: a folder without files (an error else: files that are there stay, as a task that runs again needs).
     """
     spark = docs.sparkSession
+    if uri and not empty_dir(uri):
+        raise ValueError(f"{uri} holds files already")
     path, uri = path or default_path(), uri or new_dir(spark, "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = texts.repartitionByRange(max(partitions(docs), -(-plan_bytes(texts) // SHARD_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

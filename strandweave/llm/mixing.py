@@ -4,8 +4,9 @@ Targets: every source's share of all words by its weight, but at most ``cap`` ti
 a capped source can't take goes to the others by weight. With the sources sorted by cap / weight the level
 comes from one running sum.
 
-Copies: with e = target / size of a source, a document has e expected copies (times its relative odds, if a
-column gives them): floor(e) of them are certain, and the fraction p is its inclusion probability. Pareto order sampling
+Copies: a document has min(cap, e * odds) expected copies, with one e per source for which the expected words are the target: floor of
+them are certain, and the fraction p is its inclusion probability. The capped documents are those of the largest odds; where they end is found from
+sums per source and power of 2**(1/256) of the odds. Pareto order sampling
 (Rosen, 1997) ranks documents by U / (1 - U) over p / (1 - p), U a hash of the document, and takes from the
 smallest on; here until the source's remaining words are used up, twice more among those that still fit, then the one
 document whose size is nearest to what is left, if it helps.
@@ -27,6 +28,8 @@ from ._shared import stage
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3.0
+#: Steps of odds in a factor of two, for which sums are kept.
+STEPS = 256
 #: Times that documents are taken in order of rank: what follows the first that doesn't fit may still fit.
 ROUNDS = 3
 KEY = ["src", "no_src"]
@@ -55,9 +58,13 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: in
     rows must be read from files: they are used several times.
     """
     rows = rows.withColumn("src", F.coalesce("source", F.lit(""))).withColumn("no_src", F.col("source").isNull())
-    sizes = rows.groupBy("src", "no_src").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("odds")).alias("weighed"), F.count("*").alias("n"))
-    of = targets(sizes, weights, cap).join(sizes.select("src", "no_src", "weighed", "n"), ["src", "no_src"])
-    of = stage(of.withColumn("e", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0)), "sources")
+    rows = rows.withColumn("odds", F.greatest(F.lit(0.0), F.coalesce(F.nanvl("odds", F.lit(0.0)), F.lit(0.0))))
+    step = F.when(F.col("odds") > 0, F.floor(F.log2("odds") * STEPS))
+    steps = rows.groupBy(*KEY, step.alias("step")).agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("odds")).alias("weighed"), F.count("*").alias("n"))
+    steps = stage(steps, "steps")
+    sizes = steps.groupBy(*KEY).agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
+    of = targets(sizes, weights, cap).join(sizes.select(*KEY, "n"), KEY)
+    of = stage(of.join(_level(steps, of, cap), KEY, "left").withColumn("e", F.coalesce("e", F.lit(0.0))), "sources")
     n = of.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     buckets = 1 << min(17, max(6, math.ceil(math.log2(max(n, 2)) / 2)))
 
@@ -99,6 +106,19 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: in
     return out.select("row", "doc_id", "source", "size", "source_size", "target", "copies")
 
 
+def _level(steps: DataFrame, of: DataFrame, cap: float) -> DataFrame:
+    """(src, no_src, e): sum of min(cap, e * odds) * size is the target. Rows of a source here are steps of odds, not documents."""
+    down, up = Window.partitionBy(*KEY).orderBy(F.desc("step")), Window.partitionBy(*KEY).orderBy("step")
+    at = steps.where("step is not null").join(of.select(*KEY, "target"), KEY)
+    at = at.withColumn("above", F.sum("words").over(down) - F.col("words")).withColumn("rest", F.sum("weighed").over(up))
+    at = at.withColumn("e", F.when(F.col("rest") > 0, (F.col("target") - F.lit(cap) * F.col("above")) / F.col("rest")))
+    fits = at.where(F.col("e").isNotNull() & (F.col("e") * F.pow(F.lit(2.0), (F.col("step") + 1) / STEPS) <= cap * (1 + 2 / STEPS)))
+    found = fits.groupBy(*KEY).agg(F.max_by("e", "step").alias("found"))
+    # where none fits, every document has cap copies
+    all_ = at.groupBy(*KEY).agg((F.lit(cap) / F.pow(F.lit(2.0), F.min("step") / STEPS)).alias("all"))
+    return all_.join(found, KEY, "left").select(*KEY, F.greatest(F.lit(0.0), F.coalesce("found", "all")).alias("e"))
+
+
 def _take(at: DataFrame, budget: DataFrame, out: bool = False) -> tuple[DataFrame, DataFrame]:
     """Take the documents of smallest rank, of those that still fit by themselves, as long as their sum fits; or take
     out those of largest rank where the budget is overdrawn."""
@@ -128,12 +148,18 @@ def sized(docs: DataFrame, odds: Column | None = None) -> DataFrame:
     return stage(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
 
 
+def length_odds(text: str = "text") -> Column:
+    """Odds that favour longer texts: log2(2 + words)."""
+    return F.log2(2.0 + F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, odds: Column | None = None, seed: int = 1) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of ``docs`` (doc_id, text, source).
 
     size: the text's words, null text 0. Sources in code point order, null last, weigh ``weights`` in turn. taken:
     size times the copies the mix takes, at most cap * size; a source's taken words come within half a document
-    of its target, and mostly within a few words. Repeated rows are drawn one by one. The same documents give the same mix. An empty table gives none.
+    of its target, and mostly within a few words. Repeated rows are drawn one by one; odds that are null,
+    NaN or not over 0 draw nothing. The same documents give the same mix. An empty table gives none.
     """
     out = copies(sized(docs, odds), weights, cap, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -24,9 +24,9 @@ def op3_license_diagonals(spark, sf_dir):
 
 
 def op4_pareto_mix(spark, sf_dir):
-    from .mixing import mix
+    from .mixing import length_odds, mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), odds=length_odds())
 
 
 def op5_mph_token_export(spark, sf_dir):

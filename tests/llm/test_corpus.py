@@ -239,6 +239,50 @@ def test_mix_with_unequal_odds(spark):
     assert 2.5 < taken[0] / taken[1] < 3.5
 
 
+def test_mix_takes_the_smallest_pareto_ratios(spark):
+    """Odds of 20 to 1 with the cap of 3 copies binding: expected copies, the order of the sample and the targets against a plain computation."""
+    rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(3000)]
+    df = docs(spark, rows)
+    odds = F.when(F.col("doc_id") % 5 == 0, 20.0).otherwise(1.0)
+    u = df.select("doc_id", "source", ((F.pmod(F.xxhash64(F.lit(1), "doc_id", "source", F.lit(10).cast("long")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))).alias("u")).collect()
+    got = {r.doc_id: (r.taken, r.target) for r in mixing.mix(df, odds=odds).collect()}
+    for s in "abc":
+        own = [(r.doc_id, r.u, 20.0 if r.doc_id % 5 == 0 else 1.0) for r in u if r.source == s]
+        target = got[own[0][0]][1]
+        assert abs(sum(got[i][0] for i, _, _ in own) - target) <= max(10, 0.01 * target)
+        low, high = 0.0, 1e6
+        for _ in range(200):  # bisection for the level
+            e = (low + high) / 2
+            low, high = (e, high) if sum(10 * min(3.0, e * o) for *_, o in own) < target else (low, e)
+        want = {i: int(min(3.0, e * o) + 1e-9) for i, _, o in own}
+        part = {i: min(3.0, e * o) - want[i] for i, _, o in own}
+        order = sorted((x / (1 - x) / (part[i] / (1 - part[i])), i) for i, x, _ in own if part[i] > 1e-9)
+        for _, i in order[: int((target - 10 * sum(want.values())) // 10)]:
+            want[i] += 1
+        assert sum(abs(got[i][0] - 10 * n) for i, n in want.items()) <= 20, s
+
+
+def test_mix_includes_by_probability(spark):
+    rows = [(i, "w " * 10, "ab"[i % 2]) for i in range(400)]
+    df = docs(spark, rows)
+    odds = F.when(F.col("doc_id") % 4 < 2, 4.0).otherwise(1.0)
+    n = 6
+    taken = {True: 0, False: 0}
+    for seed in range(n):
+        for r in mixing.mix(df, odds=odds, seed=seed).where("target < source_size").collect():
+            taken[r.doc_id % 4 < 2] += r.taken
+    # 200 documents of 10 words with 2000 / 1.5 words to give: 4 e and e copies
+    e = 400 * 10 / 3 / 10 / (100 * 4 + 100)
+    assert abs(taken[True] / (1000 * n) - 4 * e) < 0.06 and abs(taken[False] / (1000 * n) - e) < 0.06
+
+
+def test_mix_odds_that_draw_nothing(spark):
+    rows = [(i, "w " * 10, "ab"[i % 2]) for i in range(40)]
+    odds = F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, F.lit(float("nan"))).when(F.col("doc_id") % 8 == 2, -1.0).otherwise(1.0)
+    got = {r.doc_id: r.taken for r in mixing.mix(docs(spark, rows), odds=odds).collect()}
+    assert all(t == 0 for i, t in got.items() if i % 4 < 2 or i % 8 == 2) and any(got.values())
+
+
 def test_mix_is_native(spark):
     plan = mixing.mix(docs(spark, [(1, "a b", "x"), (2, "c", "y")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -280,6 +324,14 @@ def test_export_round_trip(spark):
     assert export.exported(docs(spark, [])).collect() == []
 
 
+def test_export_refuses_a_folder_with_files(spark, tmp_path):
+    one, other = docs(spark, [(1, "one", "s")]), docs(spark, [(1, "another text", "s")])
+    uri = f"file://{tmp_path}/ids"
+    export.export(one, uri=uri)
+    with pytest.raises(ValueError, match="holds files"):
+        export.export(other, uri=uri)
+
+
 def test_keyed_access(spark):
     df = docs(spark, [(3 * i, f"text number {i}", "s") for i in range(200)])
     out = export.export(df)
