@@ -179,8 +179,16 @@ def _parts(a, b, chain, least, percent):
     x, y = s - d, e - d
     reached = -1
     if (np.diff(y) <= 0).any():  # ends that don't grow on both sides: one by one
-        for i in range(len(chain)):
-            for j in range(len(chain) - 1, max(reached, i - 1), -1):
+        own = a[s[0] : e[-1]]
+        length = e[None] - s[:, None]
+        good = (length >= least) & (y[None] - x[:, None] >= least)
+        if (_previous(own) < 0).all():  # as in _starts
+            total = np.append(0, np.cumsum(np.isin(own, b[x.min() : y.max()])))
+            good &= 100 * (total[e - s[0]][None] - total[s - s[0]][:, None]) >= percent * length
+        for i in np.flatnonzero(good.any(1)).tolist():
+            for j in np.flatnonzero(good[i])[::-1].tolist():
+                if j <= max(reached, i - 1):
+                    break
                 if found := list(_passage(a, b, chain[i : j + 1], least, percent)):
                     yield from found
                     reached = j
@@ -189,9 +197,9 @@ def _parts(a, b, chain, least, percent):
     n, size = len(chain), int(e[-1] - s[0])
     ids = np.unique(np.concatenate((a[s[0] : e[-1]], b[x[0] : y[-1]])), return_inverse=True)[1]
     sides = [(own, _previous(own), begin - begin[0], end - begin[0]) for own, begin, end in ((ids[:size], s, e), (ids[size:], x, y))]
-    for i in range(n):
-        if e[-1] - s[i] < least:
-            break
+    for i, most in _starts(sides, least, percent):
+        if most <= reached:
+            continue
         counts, first = [], []
         for own, previous, begin, end in sides:
             new = np.flatnonzero(previous[begin[i] :] < begin[i]) + begin[i]
@@ -208,6 +216,29 @@ def _parts(a, b, chain, least, percent):
             yield int(s[i]), int(e[j]), int(x[i]), int(y[j]), float(both[j] / union[j])
 
 
+def _starts(sides, least: int, percent: int) -> list[tuple[int, int]]:
+    """(run at which a passage may start, last run at which it may end): on a side whose tokens are all distinct, a passage has at least ``percent`` of its places' tokens in common with the
+    other side, of which that side's whole chain has no fewer."""
+    n = len(sides[0][2])
+    common_ = np.zeros(int(max(own.max() for own, *_ in sides)) + 1, np.int8)
+    for own, *_ in sides:
+        seen = np.zeros(len(common_), np.int8)
+        seen[own] = 1
+        common_ += seen
+    out = []
+    for i in range(0, n, 256):
+        good = np.ones((min(256, n - i), n), bool)
+        for own, previous, begin, end in sides:
+            length = end[None] - begin[i : i + 256, None]
+            good &= length >= least
+            if (previous < 0).all():
+                total = np.append(0, np.cumsum(common_[own] == 2))
+                good &= 100 * (total[end][None] - total[begin[i : i + 256]][:, None]) >= percent * length
+        some = np.flatnonzero(good.any(1))
+        out += zip((some + i).tolist(), (n - 1 - good[some, ::-1].argmax(1)).tolist(), strict=True)
+    return out
+
+
 def _previous(x: np.ndarray) -> np.ndarray:
     """Of each place the one before it that has the same value, or -1."""
     order = np.argsort(x, kind="stable")

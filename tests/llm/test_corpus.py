@@ -449,3 +449,67 @@ def test_ftrl_is_sparse():
         m.learn(np.array([1, 2 + i % 6]), 0)
     w = m.weights
     assert w[0] > 0.5 and w[1] < -0.5 and (w[2:] == 0).sum() >= 4
+
+
+def plain_features(text):
+    """Sets of words, pairs and pairs with one word between, by a plain loop."""
+    w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").translate(LOW))
+    return {("w", x) for x in w} | {(n, *p) for n in (1, 2) for p in zip(w, w[n:])}
+
+
+def test_features_equal_a_plain_loop():
+    rng = random.Random(4)
+    texts = [t or "" for t in ODD] + [prose(rng, rng.randrange(0, 80)) for _ in range(60)]
+    import pyarrow as pa
+
+    from strandweave.llm import _words
+
+    got = [s for _, _, data, offsets in _words.passes(pa.array(texts)) for s in toxicity.feature_sets(data, offsets)]
+    place, half = {}, 1 << toxicity.BITS - 1
+    for text in texts:  # where each feature goes, from texts that hold little else
+        for f in plain_features(text):
+            if f not in place:
+                one = f[1] if f[0] == "w" else f"{f[1]} {f[2]}" if f[0] == 1 else f"{f[1]} {'x' * 9} {f[2]}"
+                own = toxicity.feature_sets(np.frombuffer(one.encode(), np.uint8), np.array([0, len(one.encode())])).pop()
+                if f[0] == "w":
+                    place[f] = own[own < half][0]
+                elif f[0] == 1:
+                    place[f] = own[own >= half][0]
+                else:
+                    near = {p for a, b in ((f[1], "x" * 9), ("x" * 9, f[2])) for p in toxicity.feature_sets(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, len(f"{a} {b}".encode())])).pop() if p >= half}
+                    place[f] = next((p for p in own[own >= half] if p not in near), None)
+    for text, s in zip(texts, got, strict=True):
+        assert {place[f] for f in plain_features(text)} - {None} <= set(s.tolist()) and len(s) <= len(plain_features(text))
+
+
+def test_ftrl_and_scores_equal_a_plain_loop(monkeypatch):
+    import math
+
+    rng = random.Random(6)
+    sets = [np.array(sorted(rng.sample(range(40), rng.randrange(0, 12))), np.int64) for _ in range(120)]
+    ys = [int(any(x < 5 for x in s)) for s in sets]
+    monkeypatch.setattr(toxicity, "penalties", lambda: np.array([0.5] * 20 + [2.0] * 20))
+    model = toxicity.fit(list(zip(sets, ys, strict=True)), epochs=2)
+    z, n, l1 = dict.fromkeys(range(-1, 40), 0.0), dict.fromkeys(range(-1, 40), 0.0), {-1: 0.0, **{i: 0.5 if i < 20 else 2.0 for i in range(40)}}
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1[i] else -(z[i] - math.copysign(l1[i], z[i])) / ((1.0 + math.sqrt(n[i])) / 2.0)
+
+    for _ in range(2):
+        for s, y in zip(sets, ys, strict=True):
+            own = [-1, *s.tolist()]
+            w = {i: weight(i) for i in own}
+            g = (1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y) * (toxicity.TOXIC if y else 1.0)
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 2.0 * w[i]
+                n[i] += g * g
+    assert np.allclose(model.weights, [weight(i) for i in range(40)]) and math.isclose(model.bias, weight(-1))
+
+    texts = [t or "" for t in ODD] + [prose(rng, 30) for _ in range(10)]
+    dense = np.where(np.arange(1 << toxicity.BITS) % 3 == 0, 0.01, 0.0)
+    at = np.flatnonzero(dense)
+    scorer = toxicity.Model(-0.2, at, dense[at])
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        own = toxicity.feature_sets(data, np.array([0, len(data)])).pop()
+        assert math.isclose(scorer.score(data, np.array([0, len(data)]))[0], 1 / (1 + math.exp(0.2 - sum(dense[i] for i in own.tolist()))))
