@@ -477,13 +477,14 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     while found is None or not pairs.isEmpty():
         made = _compared(pairs, of, min_words, percent)
         drop(pairs)
-        if of is not texts:
-            drop(of)
         rounds.append(made)
         own = made.where("key IS NULL").select(*_PASSAGE)
         found = own if found is None else found.unionByName(own)
         pairs = _hits(made.where("key IS NOT NULL").select(F.col("a").alias("v"), *_PROBE))
-        of = _used(texts.select("v", "text"), pairs)
+        # probes are of documents that this round compared, and so are the new centres: each round reads the texts of the last one only
+        last, of = of, _used(of.select("v", "text"), pairs)
+        if last is not texts:
+            drop(last)
     # passages that several rounds met
     found = stage(found.distinct(), "passages")
     drop(*rounds)
