@@ -35,14 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 #: several times over (by Spark, by Arrow, as words) in each Python worker.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Shuffle files of a query go with it, not whenever the driver happens to collect its garbage: what was staged is in the shared folder.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def settings(spark: SparkSession):
-    """The session's settings while a table is staged; the caller's own come back."""
+def settings(spark: SparkSession, batch_bytes: int | None = None):
+    """The session's settings while a table is staged, with Arrow batches of at most ``batch_bytes``; the caller's own come back."""
     own = {_CLEAN: "true"}
+    if batch_bytes:
+        most = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+        own[_BYTES] = str(min(batch_bytes, most) if most > 0 else batch_bytes)
     if int(spark.conf.get(_BATCH, "10000")) == 10_000:
         own[_BATCH] = str(BATCH_ROWS)
     before = {k: spark.conf.get(k, None) for k in own}
@@ -60,12 +64,12 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, and a
     lost executor costs only the tasks that it was running."""
     spark = df.sparkSession
     path = new_dir(spark, label)
-    with settings(spark):
+    with settings(spark, batch_bytes):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_staged_at"] = path

@@ -15,7 +15,7 @@ Steps, none of which emits all pairs of a group or gathers one in a task:
 3. centres whose members still lie in different components: the members of one centre (every pair that
    shares a table key has a centre in common) are compared in blocks, each pair of blocks a group of
    rows in a partition. Only links between components leave a task, so a large group costs work, which is spread,
-   but no rows.
+   but no rows. A block is bounded in members and in shingles, and a task holds numbers of shingles, not texts.
 
 After 3, every two documents that share a table key are compared or already in one component.
 """
@@ -27,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runs import block_pairs, grouped, runs
+from ._runs import block_pairs, grouped
 from ._shared import partitions, stage, text_key
 from ._words import Words, mix, passes, rolling
 from .components import components
 
 ROWS = 3
-#: Members of a block.
+#: Members of a block, and shingles of them all: fewer members where texts are long.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
+#: Bytes of texts in an Arrow batch: its shingles' hashes take about as much again, and are sorted.
+BATCH_BYTES = 4 << 20
 #: The chance to miss a pair just at the threshold that ``collections`` allows.
 MISS = 3e-4
 
@@ -115,7 +118,8 @@ def _verify(k: int, percent: int):
                 sets.append([s for _, _, data, offsets in passes(b.column(c)) for s in shingle_sets(Words(data, offsets), k)])
             both = np.array([common(x, y) for x, y in zip(*sets, strict=True)], np.int64)
             union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - both
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both / np.maximum(union, 1)), pa.array(100 * both >= percent * union)], ["a", "b", "similarity", "linked"])
+            n = pa.array([len(x) for x in sets[0]], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), n, pa.array(both / np.maximum(union, 1)), pa.array(100 * both >= percent * union)], ["a", "b", "n", "similarity", "linked"])
 
     return run
 
@@ -148,7 +152,7 @@ def classified(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS)
     m = collections(percent / 100, rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("text_key"))
     schema = "doc_id long, text_key long, n long, set1 long, set2 long, halves array<long>"
-    signed = stage(docs.mapInArrow(_signatures(k, m, rows), schema), "signatures")
+    signed = stage(docs.mapInArrow(_signatures(k, m, rows), schema), "signatures", BATCH_BYTES)
     signed = signed.withColumn("v", F.xxhash64("set1", "set2"))
     real = signed.where("n > 0 and doc_id is not null")
     classes = real.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
@@ -174,29 +178,48 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, m: int) -> Da
     keys = reps.repartition(partitions(reps), "v").select("v", "n", F.explode(F.array(*tables)).alias("key"))
     centre = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("centre")).where("members > 1")
     member = stage(keys.join(centre.select("key", "centre"), "key").where("v != centre"), "members")
-    first = stage(_compare(docs, reps, member.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), k, percent), "compared")
+    first = stage(_compare(docs, reps, member.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), k, percent), "compared", BATCH_BYTES)
     links = first.where("linked").select("a", "b")
 
     of = components(links)
-    own = first.select(F.col("a").alias("v"), F.col("b").alias("centre")).join(of, "v", "left").withColumn("c", F.coalesce("component", "v"))
-    sizes = own.groupBy("centre").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    mixed = stage(own.join(sizes.select("centre", "count"), "centre").select("centre", "count", "v", "c"), "mixed")
-    dealt = block_pairs(mixed, F.col("count"), "v", BLOCK)
+    own = first.select(F.col("a").alias("v"), F.col("b").alias("centre"), "n").join(of, "v", "left").withColumn("c", F.coalesce("component", "v"))
+    sizes = own.groupBy("centre").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    # long texts count for several members, but no group has more blocks than members
+    weight = F.least(F.col("count") * BLOCK, F.greatest(F.col("count"), F.ceil(F.col("shingles") / BLOCK_SHINGLES) * BLOCK)).alias("weight")
+    mixed = stage(own.join(sizes.select("centre", weight), "centre").select("centre", "weight", "v", "c"), "mixed")
+    dealt = block_pairs(mixed, F.col("weight"), "v", BLOCK)
     texts = _texts(docs, reps, mixed.select("v").distinct())
     met = grouped(dealt.join(texts, "v").select("centre", "i", "j", "side", "v", "c", "text"), ["centre", "i", "j"])
-    second = stage(met.mapInArrow(_across(k, percent), "a long, b long"), "compared")
+    second = stage(met.mapInArrow(_across(k, percent), "a long, b long"), "compared", BATCH_BYTES)
     return links.unionByName(second)
 
 
-def _across(k: int, percent: int):
-    """Links (a, b) between components, enough to join them, in each pair of blocks."""
-
-    def block(sets: list[np.ndarray], v: np.ndarray, c: np.ndarray, side: np.ndarray):
-        c = c.copy()
-        size = np.array([len(s) for s in sets])
-        begin = np.append(0, np.cumsum(size))
-        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(int(ids.max(initial=0)) + 1, np.int8)
+class _Met:
+    """The members of a pair of blocks, batch by batch. Each distinct shingle gets a number, so that a member
+    keeps 4 bytes a shingle and neither its text nor its hashes: near copies have nearly the same ones."""
+
+    def __init__(self):
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows: list[np.ndarray] = []
+
+    def add(self, sets: list[np.ndarray], v: np.ndarray, c: np.ndarray, side: np.ndarray) -> None:
+        self.rows.append(np.stack([v, c, side, [len(s) for s in sets]]))
+        u, of = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.searchsorted(self.hash, u)
+        new = np.append(self.hash, np.uint64(0))[at] != u
+        new |= at == len(self.hash)
+        number = np.empty(len(u), np.int32)
+        number[~new] = self.number[at[~new]]
+        number[new] = np.arange(len(self.hash), len(self.hash) + np.count_nonzero(new), dtype=np.int32)
+        self.hash, self.number = np.insert(self.hash, at[new], u[new]), np.insert(self.number, at[new], number[new])
+        self.ids.append((number[of], np.append(0, np.cumsum(self.rows[-1][3])[:-1])))
+
+    def links(self, percent: int):
+        """Links (a, b) between components, enough to join them."""
+        v, c, side, size = np.concatenate(self.rows, axis=1)
+        own = [(part, x, y) for part, begin in self.ids for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True)]
+        mark = np.zeros(len(self.hash), np.int8)
         two = bool(side.any())
         which, n = np.unique(c, return_counts=True)
         largest = which[np.argmax(n)]
@@ -205,25 +228,42 @@ def _across(k: int, percent: int):
             other = np.flatnonzero((c != c[x]) & ((side != side[x]) | (not two)) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
             if not len(other):
                 continue
-            own = ids[begin[x] : begin[x + 1]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[ids], begin[:-1], dtype=np.int64)[other]
-            mark[own] = 0
+            part, i, j = own[x]
+            mark[part[i:j]] = 1
+            both = np.concatenate([np.add.reduceat(mark[ids], begin, dtype=np.int64) for ids, begin in self.ids])[other]
+            mark[part[i:j]] = 0
             for y in other[100 * both >= percent * (size[x] + size[other] - both)].tolist():
                 if c[y] != c[x]:
-                    yield v[x], v[y]
+                    yield int(v[x]), int(v[y])
                     c[c == c[y]] = c[x]
 
+
+def _across(k: int, percent: int):
+    """Links (a, b) between components, enough to join them, in each pair of blocks. Rows of one (centre, i, j) follow each other;
+    a pair of blocks may take many batches, of which only shingle numbers are held."""
+
     def run(batches):
-        for t, starts in runs(batches, ["centre", "i", "j"]):
-            v, c, side = (t.column(n).to_numpy() for n in ("v", "c", "side"))
-            sets = [s for _, _, data, offsets in passes(t.column("text")) for s in shingle_sets(Words(data, offsets), k)]
-            found = []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if (c[a:b] != c[a]).any():
-                    found += block(sets[a:b], v[a:b], c[a:b], side[a:b])
+        key, met, found = None, _Met(), []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = np.stack([b.column(n).to_numpy() for n in ("centre", "i", "j")], axis=1)
+            v, c, side = (b.column(n).to_numpy() for n in ("v", "c", "side"))
+            sets = [s for _, _, data, offsets in passes(b.column("text")) for s in shingle_sets(Words(data, offsets), k)]
+            starts = np.append(0, np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist()
+            for x, y in zip(starts, [*starts[1:], len(of)], strict=True):
+                if (own := tuple(of[x].tolist())) != key:
+                    found += met.links(percent) if met.rows else ()
+                    key, met = own, _Met()
+                # a group that ends with this batch's rows and is one component has nothing to find
+                if met.rows or y == len(of) or (c[x:y] != c[x]).any():
+                    met.add(sets[x:y], v[x:y], c[x:y], side[x:y])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([int(x[n]) for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+                found = []
+        found += met.links(percent) if met.rows else ()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
     return run
 
@@ -235,7 +275,7 @@ def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent
     texts = stage(_texts(docs, reps, used), "texts")
     full = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.mapInArrow(_verify(k, percent), "a long, b long, similarity double, linked boolean")
+    return full.mapInArrow(_verify(k, percent), "a long, b long, n long, similarity double, linked boolean")
 
 
 def _texts(docs: DataFrame, reps: DataFrame, used: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.llm import _words, components, crosspolytope, minhash, substring
+from strandweave.llm import _runs, _words, components, crosspolytope, minhash, substring
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, text_key string, v int"
@@ -115,6 +117,49 @@ def test_near_copies_in_one_large_group(spark):
     assert wrong == 0
 
 
+def test_long_texts_that_share_a_centre_take_bounded_memory():
+    """A pair of blocks over many batches: links equal brute force, and a shingle costs few bytes until the last batch is in."""
+    rng = random.Random(25)
+    base = prose(rng, 6000)
+    texts = [edited(rng, base, share) for share in (0.005, 0.01, 0.02, 0.1) for _ in range(40)]
+    n = len(texts)
+
+    def batches():
+        for i in range(0, n, 4):
+            ids = list(range(i, i + 4))
+            cols = [[7] * 4, [0] * 4, [0] * 4, [0] * 4, ids, ids]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(texts[i : i + 4])], ["centre", "i", "j", "side", "v", "c", "text"])
+
+    _words.words_of(texts[:4])  # its tables of powers
+    run = minhash._across(5, 80)
+    tracemalloc.start()
+    found = [p for b in run(batches()) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sets = [shingles(t, 5) for t in texts]
+    edges = [(i, j) for i in range(n) for j in range(i) if 180 * len(sets[i] & sets[j]) >= 80 * (len(sets[i]) + len(sets[j]))]
+    assert edges and union_find(n, found) == union_find(n, edges) and len(set(union_find(n, edges))) > 1
+    assert peak < 24 * sum(len(s) for s in sets), f"{peak / sum(len(s) for s in sets):.0f} bytes a shingle"
+
+
+def test_blocks_of_few_shingles_and_small_batches(spark, monkeypatch):
+    """Texts that would fill a block many times over: each pair of them meets all the same."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1 << 11)
+    monkeypatch.setattr(minhash, "BATCH_BYTES", 1 << 14)
+    dealt = []
+    monkeypatch.setattr(minhash, "grouped", lambda df, keys: dealt.append(df) or _runs.grouped(df, keys))
+    rng = random.Random(6)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, 0.03) for _ in range(200)] + [edited(rng, base, 0.1) for _ in range(40)]
+    got = minhash.near_duplicates(docs(spark, texts), 3, 85).collect()
+    sets = [shingles(t, 3) for t in texts]
+    root = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
+    assert sum(r.component_id != root[r.doc_id] for r in got) == 0
+    met = dealt[0].groupBy("centre", "i", "j").agg(F.sum(F.size(F.split("text", " ")) - 2).alias("n"), F.max("j").alias("blocks")).collect()
+    # members are dealt by hash: a pair of blocks has twice the bound, more or less
+    assert max(r.n for r in met) < 3 * 2 * (1 << 11) and max(r.blocks for r in met) > 0
+
+
 def test_near_duplicates_awkward_rows(spark):
     rows = docs(spark, ["a b c d", "a b c d", None, "a b c d", "", "x y z"], [5, 5, 1, None, 2, 7])
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows, 3, 85).collect()), key=str)
