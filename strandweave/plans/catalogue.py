@@ -38,7 +38,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _dna(spark, d) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", "lang", "source", dna.from_text("text").alias("seq"))
+    return dna.texts_as_dna(_table(spark, d, "documents").select("doc_id", "lang", "text"))
 
 
 def _kmers(spark, d, k: int = K, canonical: bool = True) -> DataFrame:
@@ -130,13 +130,8 @@ def kmer_capped_gap(spark, d):
 @query(f"WITH {o.dna()},\n{o.occurrences(K)}\nSELECT c.size AS size, count(occ.pos) AS occurrences, count(DISTINCT kmer) AS n_distinct FROM (VALUES (64), (256), (1000)) c(size), occ GROUP BY c.size")
 def chunk_overlap_invariance(spark, d):
     """The same k-mers whatever the size of the chunks that sequences are cut into."""
-    out = None
-    for size in (64, 256, 1000):
-        cut = dna.chunks(_dna(spark, d).select("doc_id", "seq"), K, size=size)
-        counted = abundance.counts(dna.kmers(cut.drop("offset"), K).select("kmer"), "kmer")
-        one = counted.agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_distinct")).select(F.lit(size).alias("size"), "occurrences", "n_distinct")
-        out = one if out is None else out.unionByName(one)
-    return out
+    counted = abundance.chunked_counts(_dna(spark, d), K, [64, 256, 1000])
+    return counted.groupBy("size").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_distinct"))
 
 
 @query("""WITH c AS (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z]', '', 'g'), '')) AS b FROM documents)
