@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, dna
 from ..functions.stats import AbundanceConfig
-from ..operators import abundance, pairwise, sketch
+from ..operators import abundance, pairwise, sketch, windows
 from ..sources import sequences
 from ..streaming import sketches as streams
 from . import oracle as o
@@ -123,8 +123,7 @@ run AS (SELECT sum(gap) OVER (PARTITION BY doc_id, stripe ORDER BY pos) AS run F
 SELECT (SELECT count(*) FROM occ) AS uncapped, count(*) AS capped, round(100.0 * ((SELECT count(*) FROM occ) - count(*)) / (SELECT count(*) FROM occ), 6)::DOUBLE AS lost_percent FROM run WHERE run < 2""")
 def kmer_capped_gap(spark, d):
     """Occurrences that a scan capped at two runs per stripe of 32 starts loses, at k = 8."""
-    occ = _kmers(spark, d, 8).select("doc_id", "pos")
-    return abundance.cap_gap(occ, abundance.capped(occ, ["doc_id"])).withColumn("lost_percent", F.round("lost_percent", 6))
+    return windows.capped_gap(_dna(spark, d), 8, "doc_id", ids=_table(spark, d, "documents").select("doc_id")).withColumn("lost_percent", F.round("lost_percent", 6))
 
 
 @query(f"WITH {o.dna()},\n{o.occurrences(K)}\nSELECT c.size AS size, count(occ.pos) AS occurrences, count(DISTINCT kmer) AS n_distinct FROM (VALUES (64), (256), (1000)) c(size), occ GROUP BY c.size")

@@ -67,3 +67,24 @@ def test_tables_of_counters_that_fill_up_or_are_too_many(spark, monkeypatch):
         for (g,), keys, n in abundance._dense(iter(parts), 5, True):
             got.update({(g, x): m for x, m in zip(keys.tolist(), n.tolist(), strict=True)})
         assert got == expected
+
+
+def test_capped_scan_without_a_row_per_window(spark, docs, tmp_path):
+    single = spark.read.parquet(f"{docs[0]}/documents.parquet").where("doc_id != 5")
+    single.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {tuple(r) for r in abundance.cap_gap(*(x(dna.kmers(single.select("doc_id", dna.from_text("text").alias("seq")), 8)) for x in (lambda o: o, lambda o: abundance.capped(o, ["doc_id"])))).collect()}
+    assert {(a, b) for a, b, _ in run(spark, (str(tmp_path), []), "kmer_capped_gap")} == {(a, b) for a, b, _ in expected}
+    # rows that share an id are one sequence
+    own = defaultdict(list)
+    for i, t, _ in docs[1]:
+        own[i] += [p for p, _, _ in windows(t, 8)]
+    kept = 0
+    for pos in own.values():
+        stripes = defaultdict(list)
+        for p in sorted(pos):
+            stripes[p // 32].append(p)
+        for of in stripes.values():
+            runs = np.cumsum(np.append(False, np.diff(of) > 1))
+            kept += int((runs < 2).sum())
+    n = sum(map(len, own.values()))
+    assert kept < n and {tuple(r) for r in QUERIES["kmer_capped_gap"](spark, docs[0]).collect()} == {(n, kept, round(100 * (n - kept) / n, 6))}
