@@ -76,10 +76,8 @@ def kmer_canonical(spark, d):
 
 @query(f"WITH {o.dna()},\n{o.occurrences(21)}\nSELECT count(*) AS occurrences, count(DISTINCT raw) AS n_forward, count(DISTINCT kmer) AS n_canonical FROM occ")
 def kmer_exact_distinct(spark, d):
-    """Exact distinct counts: forward k-mers are aggregated first, so canonical ones are counted on distinct rows."""
-    forward = abundance.kmer_counts(_dna(spark, d), 21, is_canonical=False)
-    own = forward.groupBy(F.least("key", dna.reverse_complement_key("key", 21)).alias("c")).agg(F.sum("n").alias("occ"), F.count("*").alias("f"))
-    return own.agg(F.coalesce(F.sum("occ"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum("f"), F.lit(0)).alias("n_forward"), F.count("*").alias("n_canonical"))
+    """Exact distinct counts of forward and canonical k-mers, a bin of minimizers at a time."""
+    return abundance.kmer_totals(_dna(spark, d), 21)
 
 
 @query(f"{_OCC}\nSELECT lang, count(*) AS occurrences, count(DISTINCT kmer) AS n_distinct FROM occ GROUP BY lang")

@@ -88,3 +88,28 @@ def test_capped_scan_without_a_row_per_window(spark, docs, tmp_path):
             kept += int((runs < 2).sum())
     n = sum(map(len, own.values()))
     assert kept < n and {tuple(r) for r in QUERIES["kmer_capped_gap"](spark, docs[0]).collect()} == {(n, kept, round(100 * (n - kept) / n, 6))}
+
+
+@pytest.mark.parametrize("k", [1, 9, 21, 31])
+def test_bins_of_minimizers_hold_every_kmer_once(k, monkeypatch):
+    rng = np.random.default_rng(k)
+    codes = rng.integers(0, 4, 6000, dtype=np.uint8)
+    codes = np.concatenate((codes, [4], codes[1000:3000], [4, 4], 3 - codes[:2500][::-1], np.zeros(900, np.uint8))).astype(np.uint8)
+    forward, canonical = (dna.packed_windows(codes, k, c)[1] for c in (False, True))
+    bins, words, n = abundance._pieces(codes, k)
+    for at_once in (1 << 22, 700):
+        monkeypatch.setattr(abundance, "AT_ONCE", at_once)
+        got = np.array([abundance._distinct_in(words[bins == b], k) for b in np.unique(bins)]).sum(0)
+        assert (n.sum(), *got) == (len(forward), len(np.unique(forward)), len(np.unique(canonical)))
+
+
+def test_exact_distinct_shuffles_words_not_kmers(spark, docs, monkeypatch):
+    all_ = [w for _, t, _ in docs[1] for w in windows(t, 21)]
+    expected = {(len(all_), len({f for _, f, _ in all_}), len({c for _, _, c in all_}))}
+    assert run(spark, docs, "kmer_exact_distinct") == expected
+    monkeypatch.setattr(abundance, "SHORT_PASS", 64)
+    monkeypatch.setattr(abundance, "PIECES", 100)
+    assert run(spark, docs, "kmer_exact_distinct") == expected
+    # a long run of one base is one word per task
+    bins, words, n = abundance._pieces(np.zeros(20_000, np.uint8), 21)
+    assert len(np.unique(words)) <= 2 and n.sum() == 19_980
