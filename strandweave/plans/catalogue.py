@@ -356,6 +356,18 @@ def kmer_exact_intersection(spark, d):
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
+def _records(docs: DataFrame, record) -> DataFrame:
+    """(value): ``record(doc_id, seq)`` of the documents with an id and a text."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            own = zip(b.column("doc_id").to_pylist(), b.column("seq").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([record(i, s) for i, s in own], pa.string())], ["value"])
+
+    return docs.select("doc_id", "seq").where("seq is not null").mapInArrow(run, "value string")
+
+
 def _written(spark, lines: DataFrame, option: dict) -> list[str]:
     """Write lines as text files and list them."""
     folder = f"{scratch_dir(spark)}/text-{uuid.uuid4().hex[:12]}"
@@ -365,8 +377,7 @@ def _written(spark, lines: DataFrame, option: dict) -> list[str]:
 
 def _windows_of(spark, paths: list[str], k: int) -> DataFrame:
     rows = sequences.read_sequences(spark, paths, k).select("seq")
-    counted = abundance.kmer_counts(rows, k)
-    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.count("*").alias("n_distinct"))
+    return abundance.kmer_totals(rows, k).select("occurrences", F.col("n_canonical").alias("n_distinct"))
 
 
 _WINDOWS = f"WITH {o.dna()},\n{o.occurrences(21)}\nSELECT count(*) AS occurrences, count(DISTINCT kmer) AS n_distinct FROM occ"
@@ -382,8 +393,7 @@ def fasta_concat(spark, d):
 @query(_WINDOWS)
 def fastq_mod4(spark, d):
     """Documents as FASTQ: only the second of four lines counts, whatever the others hold."""
-    quality = F.regexp_replace("seq", ".", "@")
-    lines = _dna(spark, d).where("seq is not null").select(F.concat_ws("\n", F.concat(F.lit("@doc"), F.col("doc_id").cast("string")), "seq", F.lit("+"), quality).alias("value"))
+    lines = _records(_dna(spark, d), lambda i, seq: f"@doc{i}\n{seq}\n+\n{'@' * len(seq)}")
     return _windows_of(spark, _written(spark, lines, {}), 21)
 
 

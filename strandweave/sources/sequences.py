@@ -203,7 +203,9 @@ class SequenceReader(DataSourceReader):
                 out.append(Range(path, None, None))
         return out
 
-    def read(self, part: Range):
+    def read(self, part: Range | None):
+        if part is None:  # what Spark reads where there are no files
+            return
         if part.begin is None:
             for offset, seq, starts in chunked(bases(_pieces(part.path)), self.k, self.row):
                 yield part.path, 0, offset, seq, starts

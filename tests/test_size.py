@@ -113,3 +113,10 @@ def test_exact_distinct_shuffles_words_not_kmers(spark, docs, monkeypatch):
     # a long run of one base is one word per task
     bins, words, n = abundance._pieces(np.zeros(20_000, np.uint8), 21)
     assert len(np.unique(words)) <= 2 and n.sum() == 19_980
+
+
+def test_fastq_records_without_expressions_per_base(spark, docs, tmp_path):
+    n = counted(docs[1], 21)
+    assert run(spark, docs, "fastq_mod4") == {(n.total(), len(n))}
+    spark.read.parquet(f"{docs[0]}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert run(spark, (str(tmp_path), []), "fastq_mod4") == {(0, 0)}
