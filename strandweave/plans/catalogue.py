@@ -386,7 +386,10 @@ _WINDOWS = f"WITH {o.dna()},\n{o.occurrences(21)}\nSELECT count(*) AS occurrence
 @query(_WINDOWS)
 def fasta_concat(spark, d):
     """Documents as FASTA (gzip), through the reader: lines of 70 bases, a header per record."""
-    lines = _dna(spark, d).where("seq is not null").select(F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value"))
+    def record(i, seq):
+        return f">doc{i}\n" + "\n".join([seq[j : j + 70] for j in range(0, len(seq), 70)])
+
+    lines = _records(_dna(spark, d), record)
     return _windows_of(spark, _written(spark, lines, {"compression": "gzip"}), 21)
 
 

@@ -120,3 +120,8 @@ def test_fastq_records_without_expressions_per_base(spark, docs, tmp_path):
     assert run(spark, docs, "fastq_mod4") == {(n.total(), len(n))}
     spark.read.parquet(f"{docs[0]}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert run(spark, (str(tmp_path), []), "fastq_mod4") == {(0, 0)}
+
+
+def test_fasta_records_without_expressions_per_base(spark, docs):
+    n = counted(docs[1], 21)  # documents without an id among them
+    assert run(spark, docs, "fasta_concat") == {(n.total(), len(n))}
