@@ -70,8 +70,7 @@ def kmer_windows(spark, d):
 
 @query(f"{_OCC}\nSELECT doc_id, count(DISTINCT kmer) AS n_distinct, min(kmer) AS least, max(kmer) AS most FROM occ GROUP BY doc_id")
 def kmer_canonical(spark, d):
-    once = _kmers(spark, d).select("doc_id", "kmer").distinct()
-    return once.groupBy("doc_id").agg(F.count("*").alias("n_distinct"), F.min("kmer").alias("least"), F.max("kmer").alias("most"))
+    return windows.extremes(_dna(spark, d), K, "doc_id", ids=_table(spark, d, "documents").select("doc_id"))
 
 
 @query(f"WITH {o.dna()},\n{o.occurrences(21)}\nSELECT count(*) AS occurrences, count(DISTINCT raw) AS n_forward, count(DISTINCT kmer) AS n_canonical FROM occ")

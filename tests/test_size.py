@@ -125,3 +125,10 @@ def test_fastq_records_without_expressions_per_base(spark, docs, tmp_path):
 def test_fasta_records_without_expressions_per_base(spark, docs):
     n = counted(docs[1], 21)  # documents without an id among them
     assert run(spark, docs, "fasta_concat") == {(n.total(), len(n))}
+
+
+def test_distinct_kmers_of_a_document_without_a_shuffle_of_them(spark, docs):
+    own = defaultdict(set)
+    for i, t, _ in docs[1]:
+        own[i] |= {c for _, _, c in windows(t, 12)}
+    assert run(spark, docs, "kmer_canonical") == {(i, len(x), min(x), max(x)) for i, x in own.items() if x}
