@@ -50,6 +50,13 @@ def _counts(spark, d, k: int = K, by: list[str] = ()) -> DataFrame:
     return abundance.kmer_counts(_dna(spark, d), k, by)
 
 
+def _staged(spark, df: DataFrame) -> DataFrame:
+    """Written once and read back, for what more than one job or branch reads."""
+    folder = f"{scratch_dir(spark)}/rows-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 _OCC = f"WITH {o.dna()},\n{o.occurrences(K)}"
 _COUNTED = f"{_OCC},\ncounted AS (SELECT kmer, count(*) AS n FROM occ GROUP BY kmer)"
 _KEYS = f"{_COUNTED},\nkeyed AS (SELECT {o.packed('kmer', K)} AS key, n FROM counted),\n{o.finalized('keyed', 'key')}"
@@ -189,6 +196,12 @@ def _sample(spark, d) -> DataFrame:
     return abundance.bottom_k(_counts(spark, d), "key", SAMPLE)
 
 
+def _below(spark, d, sample: DataFrame) -> DataFrame:
+    """(key, n): a second pass over all occurrences, counting the keys up to the tau of a sample."""
+    tau = abundance.tau(sample, SAMPLE).first().tau
+    return abundance.kmer_counts(_dna(spark, d), K, below=tau % (1 << 64))
+
+
 @query(f"{_SAMPLE}\nSELECT {o.signed('max(u)')} AS tau, count(*) AS n_distinct, sum(n)::BIGINT AS n_occ, count(*) >= {SAMPLE} AS \"full\" FROM sample")
 def bottomk_tau(spark, d):
     return abundance.tau(_sample(spark, d), SAMPLE)
@@ -221,9 +234,8 @@ def bottomk_counted_below_tau(spark, d):
 @query(f"{_SAMPLE}, below AS (SELECT key, n FROM fin WHERE u <= (SELECT max(u) FROM sample))\nSELECT count(*) FILTER (s.n IS DISTINCT FROM b.n) AS n_mismatches FROM sample s FULL JOIN below b USING (key)")
 def retained_vs_truth(spark, d):
     """Sampled counts against a second pass over all occurrences: none may differ."""
-    sample = _sample(spark, d)
-    keys = _kmers(spark, d).select(dna.packed("kmer").alias("key"))
-    return abundance.mismatches(sample.select("key", "n"), abundance.counted_below(keys, "key", abundance.tau(sample, SAMPLE)), "key")
+    sample = _staged(spark, _sample(spark, d))
+    return abundance.mismatches(sample.select("key", "n"), _below(spark, d, sample), "key")
 
 
 _REGION = "SELECT '{0}' AS region, count(*) FILTER ({1}) AS in_sample, count(*) AS m, (SELECT count(*) FROM keyed)::DOUBLE AS f0 FROM sample"

@@ -132,3 +132,7 @@ def test_distinct_kmers_of_a_document_without_a_shuffle_of_them(spark, docs):
     for i, t, _ in docs[1]:
         own[i] |= {c for _, _, c in windows(t, 12)}
     assert run(spark, docs, "kmer_canonical") == {(i, len(x), min(x), max(x)) for i, x in own.items() if x}
+
+
+def test_second_pass_without_a_row_per_window(spark, docs):
+    assert run(spark, docs, "retained_vs_truth") == {(0,)}
