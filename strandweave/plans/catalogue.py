@@ -41,10 +41,6 @@ def _dna(spark, d) -> DataFrame:
     return dna.texts_as_dna(_table(spark, d, "documents").select("doc_id", "lang", "text"))
 
 
-def _kmers(spark, d, k: int = K, canonical: bool = True) -> DataFrame:
-    return dna.kmers(_dna(spark, d), k, is_canonical=canonical)
-
-
 def _counts(spark, d, k: int = K, by: list[str] = ()) -> DataFrame:
     """(*by, key, n): two-bit keys of the canonical k-mers."""
     return abundance.kmer_counts(_dna(spark, d), k, by)
@@ -227,8 +223,7 @@ def nthash_sample(spark, d):
 @query(f"{_SAMPLE}\nSELECT key, least(n, {CAP}) AS n FROM sample")
 def bottomk_counted_below_tau(spark, d):
     """Second pass: capped counts of the keys up to tau."""
-    keys = _kmers(spark, d).select(dna.packed("kmer").alias("key"))
-    return abundance.counted_below(keys, "key", abundance.tau(_sample(spark, d), SAMPLE), CAP)
+    return _below(spark, d, _sample(spark, d)).withColumn("n", F.least("n", F.lit(CAP).cast("bigint")))
 
 
 @query(f"{_SAMPLE}, below AS (SELECT key, n FROM fin WHERE u <= (SELECT max(u) FROM sample))\nSELECT count(*) FILTER (s.n IS DISTINCT FROM b.n) AS n_mismatches FROM sample s FULL JOIN below b USING (key)")

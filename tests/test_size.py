@@ -136,3 +136,11 @@ def test_distinct_kmers_of_a_document_without_a_shuffle_of_them(spark, docs):
 
 def test_second_pass_without_a_row_per_window(spark, docs):
     assert run(spark, docs, "retained_vs_truth") == {(0,)}
+
+
+def test_counts_below_tau_in_tables(spark, docs):
+    n = counted(docs[1], 12)
+    key = {int(c.translate(str.maketrans("ACGT", "0123")), 4): m for c, m in n.items()}
+    order = np.array(sorted(key), np.uint64)
+    least = order[np.argsort(dna.finalize(order))][:1000].tolist()
+    assert len(key) > 1000 and run(spark, docs, "bottomk_counted_below_tau") == {(x, min(key[x], 5)) for x in least}
