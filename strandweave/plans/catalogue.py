@@ -251,7 +251,7 @@ def abundance_estimate(spark, d):
 @query()
 def abundance_upper(spark, d):
     """One-sided upper bounds of the class sizes (Clopper-Pearson)."""
-    counted = _counts(spark, d)
+    counted = _staged(spark, _counts(spark, d))
     e = abundance.estimate_regions(abundance.bottom_k(counted, "key", SAMPLE), counted.count(), CONFIG)
     return e.select("region", F.round("upper", 3).alias("upper"))
 
