@@ -65,10 +65,10 @@ _SAMPLE = f"{_KEYS},\nsample AS (SELECT key, u, n FROM fin ORDER BY u LIMIT {SAM
 @query(f"WITH {o.dna()},\n{o.occurrences(21)}\nSELECT d.doc_id, greatest(length(d.seq) - 20, 0)::BIGINT AS n_windows, count(occ.pos)::BIGINT AS n_valid FROM dna d LEFT JOIN occ USING (doc_id) GROUP BY d.doc_id, n_windows")
 def kmer_windows(spark, d):
     """Windows of 21 bases per document, and those without a break."""
-    docs = _dna(spark, d)
-    valid = dna.kmers(docs, 21).groupBy("doc_id").agg(F.count("*").alias("n_valid"))
-    n = F.greatest(F.length("seq") - 20, F.lit(0)).cast("bigint")
-    return docs.select("doc_id", n.alias("n_windows")).join(valid, "doc_id", "left").select("doc_id", "n_windows", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+    own = windows.valid_counts(_dna(spark, d), 21, "doc_id").groupBy("doc_id", "n_windows").agg(F.count("*").alias("_rows"), F.sum("n_valid").alias("_own"))
+    # each document meets the windows of all documents with its id; a null id meets none
+    n = F.when(F.col("doc_id").isNotNull(), F.col("_rows") * F.sum("_own").over(Window.partitionBy("doc_id"))).otherwise(0)
+    return own.select("doc_id", "n_windows", n.alias("n_valid"))
 
 
 @query(f"{_OCC}\nSELECT doc_id, count(DISTINCT kmer) AS n_distinct, min(kmer) AS least, max(kmer) AS most FROM occ GROUP BY doc_id")

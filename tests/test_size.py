@@ -151,3 +151,11 @@ def test_estimates_read_counts_that_were_made_once(spark, docs, name):
     plan = QUERIES[name](spark, docs[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # the counts are read from where they were written
     assert len(run(spark, docs, name)) == 3
+
+
+def test_windows_of_a_document_without_a_row_per_window(spark, docs):
+    groups, valid = Counter(), Counter()
+    for i, t, _ in docs[1]:
+        groups[i, max(len(bases(t)) - 20, 0)] += 1
+        valid[i] += len(windows(t, 21))
+    assert run(spark, docs, "kmer_windows") == {(i, n, m * valid[i] if i is not None else 0) for (i, n), m in groups.items()}
