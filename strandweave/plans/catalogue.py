@@ -43,7 +43,7 @@ def _dna(spark, d) -> DataFrame:
 
 def _counts(spark, d, k: int = K, by: list[str] = ()) -> DataFrame:
     """(*by, key, n): two-bit keys of the canonical k-mers."""
-    return abundance.kmer_counts(_dna(spark, d), k, by)
+    return abundance.kmer_counts(_dna(spark, d), k, by, few_groups=True)
 
 
 def _staged(spark, df: DataFrame) -> DataFrame:

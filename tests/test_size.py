@@ -159,3 +159,12 @@ def test_windows_of_a_document_without_a_row_per_window(spark, docs):
         groups[i, max(len(bases(t)) - 20, 0)] += 1
         valid[i] += len(windows(t, 21))
     assert run(spark, docs, "kmer_windows") == {(i, n, m * valid[i] if i is not None else 0) for (i, n), m in groups.items()}
+
+
+def test_jaccard_of_languages_in_tables(spark, docs):
+    own = defaultdict(set)
+    for _, t, lang in docs[1]:
+        own[lang] |= {c for _, _, c in windows(t, 12)}
+    names = sorted(x for x in own if x)
+    expected = {(i, j, len(own[i] & own[j]), round(len(own[i] & own[j]) / len(own[i] | own[j]), 9)) for i in names for j in names if i < j and own[i] & own[j]}
+    assert expected <= run(spark, docs, "pairwise_jaccard_exact")
