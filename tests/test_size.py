@@ -168,3 +168,8 @@ def test_jaccard_of_languages_in_tables(spark, docs):
     names = sorted(x for x in own if x)
     expected = {(i, j, len(own[i] & own[j]), round(len(own[i] & own[j]) / len(own[i] | own[j]), 9)) for i in names for j in names if i < j and own[i] & own[j]}
     assert expected <= run(spark, docs, "pairwise_jaccard_exact")
+
+
+def test_shared_kmers_of_two_languages_in_tables(spark, docs):
+    own = {x: {c for _, t, lang in docs[1] if lang == x for _, _, c in windows(t, 12)} for x in ("en", "fr")}
+    assert run(spark, docs, "kmer_exact_intersection") == {(len(own["en"] & own["fr"]),)}
