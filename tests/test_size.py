@@ -146,7 +146,7 @@ def test_counts_below_tau_in_tables(spark, docs):
     assert len(key) > 1000 and run(spark, docs, "bottomk_counted_below_tau") == {(x, min(key[x], 5)) for x in least}
 
 
-@pytest.mark.parametrize("name", ["abundance_upper"])
+@pytest.mark.parametrize("name", ["abundance_upper", "abundance_estimate"])
 def test_estimates_read_counts_that_were_made_once(spark, docs, name):
     plan = QUERIES[name](spark, docs[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # the counts are read from where they were written
