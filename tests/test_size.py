@@ -173,3 +173,10 @@ def test_jaccard_of_languages_in_tables(spark, docs):
 def test_shared_kmers_of_two_languages_in_tables(spark, docs):
     own = {x: {c for _, t, lang in docs[1] if lang == x for _, _, c in windows(t, 12)} for x in ("en", "fr")}
     assert run(spark, docs, "kmer_exact_intersection") == {(len(own["en"] & own["fr"]),)}
+
+
+def test_counts_by_language_in_tables(spark, docs):
+    own = defaultdict(Counter)
+    for _, t, lang in docs[1]:
+        own[lang].update(c for _, _, c in windows(t, 12))
+    assert run(spark, docs, "kmer_distinct_by_lang") == {(lang, n.total(), len(n)) for lang, n in own.items() if n}
